@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..runtime import cut
 
 #: Terms kept, concepts computed.
 VOCABULARY, CONCEPTS = 5000, 25
+#: Up to so many terms the decomposition is worked out from the terms' Gramian matrix (72 MB), beyond by the distributed solver.
+GRAMIAN_TERMS = 3000
 
 
 def term_freqs(docs: DataFrame, doc: str, terms: str) -> DataFrame:
@@ -51,10 +55,19 @@ class Lsa:
         rows = cut(rows)
         size = len(vocab)
         vectors = rows.rdd.map(lambda r: OldVectors.sparse(size, [x["j"] for x in r["v"]], [x["weight"] for x in r["v"]]))
-        svd = RowMatrix(vectors).computeSVD(min(k, size), computeU=False)
-        v = svd.V.toArray()
+        # as a DataFrame of vectors the rows stay in the JVM over the solver's many passes
+        held = spark.createDataFrame(vectors.map(lambda x: (x,)), StructType([StructField("v", VectorUDT())])).persist()
+        matrix, k = RowMatrix(held), min(k, size)
+        if size <= GRAMIAN_TERMS:
+            # one pass over the rows, then a local eigenproblem of bounded size
+            values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+            self.s, v = np.sqrt(np.clip(values[::-1][:k], 0, None)), vectors[:, ::-1][:, :k]
+        else:
+            svd = matrix.computeSVD(k, computeU=False)
+            self.s, v = svd.s.toArray(), svd.V.toArray()
+        held.unpersist()
         flip = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        self.v, self.s = v * flip, svd.s.toArray()
+        self.v = v * flip
         self.rows = rows
 
     def term_weights(self) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
+from ..runtime import cut
+
 #: Dimension of the hashed features.
 HASH_DIM = 32768
 #: The full grids: parameter name -> values.
@@ -29,6 +31,7 @@ def hashed_pipeline(estimator, features: list[str], label: str, dim: int = HASH_
 
 def cross_validate(pipeline: Pipeline, grid: dict, evaluator, data: DataFrame, folds: int = 5, seed: int = 11, parallelism: int = 2):
     """The fitted CrossValidatorModel over all combinations of the grid, which applies to the pipeline's last stage."""
+    data = cut(data)  # every fit passes over it several times
     last = pipeline.getStages()[-1]
     g = ParamGridBuilder()
     for name, values in grid.items():
