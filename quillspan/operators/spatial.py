@@ -160,7 +160,7 @@ def _match_blocks(p: DataFrame, n_keep: int, targets: DataFrame, schema: T.Struc
             region = np.array([k == "region" for k in b.column(1).to_pylist()], dtype=bool)
             lo[region, :2], hi[region, :2] = t.tri_tree.box_lo, t.tri_tree.box_hi
             lo[~region, 2:], hi[~region, 2:] = t.disc_tree.box_lo, t.disc_tree.box_hi
-            mid = np.where(np.isfinite(lo), (lo + hi) / 2, 0.0)
+            mid = (np.where(np.isfinite(lo), lo, 0.0) + np.where(np.isfinite(hi), hi, 0.0)) / 2
             # Morton order of the middle; the two kinds come apart first
             scaled = np.clip(np.c_[(mid[:, :2] + [180, 90]) / [360, 180], (mid[:, 2:] + 1) / 2] * 2**16, 0, 2**16 - 1).astype(np.uint64)
             code = np.zeros(b.num_rows, np.uint64)
@@ -191,9 +191,10 @@ def _match_blocks(p: DataFrame, n_keep: int, targets: DataFrame, schema: T.Struc
             yield pa.RecordBatch.from_arrays([*[c.take(idx) for c in b.columns], pa.array(pairs[:, 1])], [*b.schema.names, "block"])
 
     routed = cut(p.mapInArrow(route, T.StructType([*p.schema.fields, T.StructField("block", T.LongType())])))
-    salts = routed.groupBy("block").count().select("block", F.ceil(F.col("count") / group_points).cast("int").alias("salts"))
-    left = routed.join(F.broadcast(salts), "block").withColumn("salt", F.floor(F.rand(7) * F.col("salts")).cast("int"))  # salts: one row per block
-    right = blocks.select(F.col("block").cast("bigint").alias("block"), "target_id", "kind", "g").join(F.broadcast(salts), "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sizes = [(r["block"], -(-r["count"] // group_points)) for r in routed.groupBy("block").count().collect()]  # one row per block
+    salts = lambda: F.broadcast(spark.createDataFrame(sizes, "block bigint, salts int"))
+    left = routed.join(salts(), "block").withColumn("salt", F.floor(F.rand(7) * F.col("salts")).cast("int"))
+    right = blocks.select(F.col("block").cast("bigint").alias("block"), "target_id", "kind", "g").join(salts(), "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         t = _targets(*(b.column(c).to_pylist() for c in ("target_id", "kind", "g")))
