@@ -58,12 +58,11 @@ def word_pairs_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return X.pair_kinds(X.word_pairs(_docs(spark, sf), "text", 1)).select("kind", "pair", "cnt")
 
 
-def word_stripes_m1(spark: SparkSession, sf: str) -> DataFrame:
-    return X.word_stripes(_docs(spark, sf), "text", 1)
-
+def _stripes(m: int):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return X.word_stripes(_docs(spark, sf), "text", m)
 
-def word_stripes_m2(spark: SparkSession, sf: str) -> DataFrame:
-    return X.word_stripes(_docs(spark, sf), "text", 2)
+    return query
 
 
 def _tweets(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,9 +111,9 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (word_count_strict, word_count_top1000, number_count_top1000, word_count_stopwords, word_count_stopwords_join, token_kind_counts)
-} | {f"word_pairs_m{m}": _pairs(m) for m in (1, 2, 5)} | {
+} | {f"word_pairs_m{m}": _pairs(m) for m in (1, 2, 5, 10)} | {f"word_stripes_m{m}": _stripes(m) for m in (1, 2, 5, 10)} | {
     f.__name__: f
-    for f in (word_pairs_keep_empty, word_pairs_kinds, word_stripes_m1, word_stripes_m2, hashtag_top, hashtag_pairs_top, stream_hashtag_topk, stream_window_counts)
+    for f in (word_pairs_keep_empty, word_pairs_kinds, hashtag_top, hashtag_pairs_top, stream_hashtag_topk, stream_window_counts)
 }
 
 _LINES = r"""
@@ -159,12 +158,11 @@ SQL = {
     "word_count_stopwords": _top_sql(f"{_WORD.format('token')} AND token NOT IN ({_STOPS})"),
     "word_count_stopwords_join": _top_sql(f"{_WORD.format('token')} AND token NOT IN ({_STOPS})"),
     "token_kind_counts": _LINES + f"SELECT {_KIND.format('token')} AS kind, count(*) AS cnt FROM t GROUP BY 1",
-    **{f"word_pairs_m{m}": _pairs_sql(m) + "SELECT a || ':' || b AS pair, cnt FROM p" for m in (1, 2, 5)},
+    **{f"word_pairs_m{m}": _pairs_sql(m) + "SELECT a || ':' || b AS pair, cnt FROM p" for m in (1, 2, 5, 10)},
     "word_pairs_keep_empty": _pairs_sql(1, "") + "SELECT a || ':' || b AS pair, cnt FROM p",
     "word_pairs_kinds": _pairs_sql(1)
     + f"SELECT CASE WHEN {_KIND.format('a')} <> {_KIND.format('b')} THEN 'mixed' ELSE {_KIND.format('a')} || '-' || {_KIND.format('b')} END AS kind, a || ':' || b AS pair, cnt FROM p",
-    "word_stripes_m1": _stripes_sql(1),
-    "word_stripes_m2": _stripes_sql(2),
+    **{f"word_stripes_m{m}": _stripes_sql(m) for m in (1, 2, 5, 10)},
     "hashtag_top": _TAG_TOP,
     "hashtag_pairs_top": _TAGS
     + "SELECT x.token || ':' || y.token AS pair, count(*) AS cnt FROM c x JOIN c y ON x.doc_id = y.doc_id AND (x.token < y.token OR (x.token = y.token AND x.n > 1)) GROUP BY 1 ORDER BY cnt DESC, pair LIMIT 1000",
