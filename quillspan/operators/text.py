@@ -66,9 +66,12 @@ def pair_kinds(pairs: DataFrame) -> DataFrame:
 
 def word_stripes(df: DataFrame, text: str, m: int = 1) -> DataFrame:
     """token, neighbour, cnt: accepted tokens up to m places to either side; the centre must not be empty, a neighbour may be."""
-    both = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
-    p = _marked_lines(df, text).select(F.explode(F.flatten(_shifted(m, both))).alias("p")).select("p.a", "p.b").where("a <> '' and b is not null")
-    return p.groupBy(F.col("a").alias("token"), F.col("b").alias("neighbour")).agg(F.count("*").alias("cnt"))
+    pair = F.explode(_shifted(m, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")
+    right = _marked_lines(df, text).select(pair).select("p.a", "p.b").where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    # each pair is counted once, to the right, and mirrored afterwards: half the rows go through the first aggregation
+    sides = F.array(F.struct(F.col("a").alias("token"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("token"), F.col("a").alias("neighbour")))
+    both = right.select(F.explode(sides).alias("s"), "cnt").select("s.token", "s.neighbour", "cnt").where("token <> ''")
+    return both.groupBy("token", "neighbour").agg(F.sum("cnt").alias("cnt"))
 
 
 def as_stripes(flat: DataFrame) -> DataFrame:

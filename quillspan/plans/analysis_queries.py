@@ -9,7 +9,7 @@ from ..functions.tokens import STOP_WORDS, letters_only
 from ..operators import lsa as L
 from ..operators import stats as S
 from ..operators.weather import parse_records, split_years
-from ..runtime import cut, table
+from ..runtime import cut, spread, table
 from ..sources.readers import MOVIE_SCHEMA, read_csv_records
 from ..sources.sinks import write_csv
 from ..streaming.hashtags import shared_path
@@ -19,7 +19,7 @@ NUMBERS = ["quantity", "price", "discount", "tax"]
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem")
+    return spread(table(spark, sf, "lineitem"))
 
 
 def fixed_width_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def strongest_correlate(spark: SparkSession, sf: str) -> DataFrame:
 
 def _movies(spark: SparkSession, sf: str) -> DataFrame:
     """movie_id, terms: each movie with a plot once, its plot's words without stop-words."""
-    m = table(spark, sf, "movies").select("movie_id", "plot").distinct().where("plot is not null")
+    m = spread(table(spark, sf, "movies").select("movie_id", "plot")).distinct().where("plot is not null")
     return m.select("movie_id", F.filter(letters_only(F.col("plot")), lambda t: ~t.isin(*STOP_WORDS)).alias("terms"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import STOP_WORDS, is_number, is_strict, is_word, token_kind
 from ..operators import text as X
-from ..runtime import table
+from ..runtime import spread, table
 from ..streaming.hashtags import batch_path, on_batches, shared_path, window_counts
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents").select("text", "source"))
 
 
 def word_count_strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def hashtag_pairs_top(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_hashtag_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Per-batch counts of a stream over the documents, added up over the batches: the batch query's answer."""
-    schema = _docs(spark, sf).schema
+    schema = table(spark, sf, "documents").schema
     base = shared_path(spark, "hashtags")
     # a pattern, since a table may be one file or a folder of files
     tweets = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]").where("lower(trim(source)) = 'tweets'")

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of so few splits that most cores would idle is dealt out to all of them; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the folder named by ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a local one is made."""
     sc = spark.sparkContext
