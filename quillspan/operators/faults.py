@@ -25,7 +25,7 @@ _INF = float("inf")
 
 @dataclass(frozen=True)
 class Measure:
-    """name; parts: the value's numeric columns (all must be known); impossible: SQL condition over the input's columns; spike: from a
+    """name; parts: the value's numeric columns (all must be known); impossible: SQL condition over the parts; spike: from a
     list of (part, median) columns the condition for a spike."""
 
     name: str
@@ -148,7 +148,9 @@ def implausible(df: DataFrame, source: str, time: str, order_id: str, measures:
     ``df`` holds each reading once, ``time`` as a bigint. Readings without source are left out, those without time never count as stuck, and a measure with
     an unknown part has no reading. Ties in time are ordered by order_id. Columns beyond those used are ignored.
     """
-    df = df.where(F.col(source).isNotNull())
+    used = [source, time, order_id, *dict.fromkeys(p for m in measures for p in m.parts if p not in (source, time, order_id))]
+    # the sketches, the rank counts, the ranking and the judging each pass over the readings: what made them unique is done once
+    df = cut(df.where(F.col(source).isNotNull()).select(*used))
     known = {m.name: F.lit(True) for m in measures}
     for m in measures:
         for p in m.parts:
