@@ -15,7 +15,7 @@ from ..runtime import cut
 #: Dimension of the hashed features.
 HASH_DIM = 32768
 #: The full grids: parameter name -> values.
-TREE_GRID = {"impurity": ["gini", "entropy"], "maxBins": [100, 200, 300], "maxDepth": [10, 20, 30]}
+TREE_GRID = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30]}
 FOREST_GRID = {"numTrees": [5, 10, 20], **TREE_GRID}
 REGRESSION_GRID = {"maxBins": [100, 200], "maxDepth": [5, 10]}
 

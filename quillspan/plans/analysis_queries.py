@@ -148,18 +148,20 @@ def _survey(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _classified(kind: str, grid: dict):
+def _classified(kind: str):
+    """The operator's whole grid, five folds and full hash dimension."""
+
     def query(spark: SparkSession, sf: str) -> DataFrame:
         from ..operators.ml import classify
 
-        _, p, accuracy, auc = classify(_survey(spark, sf), ["year", "l_linestatus", "quantity", "discount", "tax"], "outcome", kind, grid, folds=2, dim=1024)
+        _, p, accuracy, auc = classify(_survey(spark, sf), ["year", "l_linestatus", "quantity", "discount", "tax"], "outcome", kind)
         return p.groupBy("outcome", "prediction").agg(F.count("*").alias("n")).withColumn("accuracy", F.lit(accuracy)).withColumn("area_under_roc", F.lit(auc))
 
     return query
 
 
-dt_classifier_cv = _classified("tree", {"maxDepth": [3, 5]})
-rf_classifier_cv = _classified("forest", {"numTrees": [3, 5]})
+dt_classifier_cv = _classified("tree")
+rf_classifier_cv = _classified("forest")
 
 
 def rf_regressor_cv(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +169,7 @@ def rf_regressor_cv(spark: SparkSession, sf: str) -> DataFrame:
 
     train, test = split_years(noaa_parse(spark, sf), 1993, 1996)
     features = ["year", "month", "day", "hour", "latitude", "longitude", "elevation", "direction", "speed", "ceiling", "distance", "dew_point"]
-    _, p, rmse = regress(train, test, features, "label", {"numTrees": [3, 5]}, folds=2)
+    _, p, rmse = regress(train, test, features, "label")
     return p.groupBy("year").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction")).withColumn("rmse", F.lit(rmse))
 
 

@@ -161,3 +161,23 @@ def test_tree_models_and_concepts_run(spark):
     r = QUERIES["dt_classifier_cv"](spark, SF).first()
     assert 0 <= r.accuracy <= 1 and 0 <= r.area_under_roc <= 1
     assert QUERIES["lsa_query"](spark, SF).count() == 10
+
+
+def test_model_queries_search_the_whole_grids(spark, monkeypatch):
+    from quillspan.operators import ml
+    from quillspan.plans.analysis_queries import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def seen(pipeline, grid, evaluator, data, folds=5, seed=11, parallelism=2):
+        raise Seen(pipeline.getStages()[0], grid, folds)
+
+    monkeypatch.setattr(ml, "cross_validate", seen)
+    tree = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30]}
+    for name, grid in (("dt_classifier_cv", tree), ("rf_classifier_cv", {"numTrees": [5, 10, 20], **tree}), ("rf_regressor_cv", {"maxBins": [100, 200], "maxDepth": [5, 10]})):
+        with pytest.raises(Seen) as e:
+            QUERIES[name](spark, SF)
+        first, searched, folds = e.value.args
+        assert (searched, folds) == (grid, 5)
+        assert name == "rf_regressor_cv" or first.getNumFeatures() == 32768
