@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators.multivalue import split_values
 from ..operators.rejects import MOVIES, TRIPS, read_with_rejects
 from ..operators.sessions import gap_sessions
 from ..operators.spatial import match_points, point_targets, region_triangles
-from ..runtime import micros, table
+from ..runtime import cut, micros, table
 
 #: Walking distance to a stand in metres, and the gap in hours that ends a working session.
 WALK_M, GAP_H = 120.0, 4
@@ -68,13 +70,19 @@ TRIP_MEASURES = [
 ]
 
 
+#: field_name -> column of the readings judged by the hour.
+HOURLY_VALUES = {"duration": "duration_us", "pickup_lon": "lon", "pickup_lat": "lat"}
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return implausible(trip_readings(spark, sf), "license", "pickup_us", "trip_id", TRIP_MEASURES).select("trip_id", "field_name", "kind")
 
 
 def p6_hourly_fences(spark: SparkSession, sf: str) -> DataFrame:
-    """Trips whose duration is outside their license's fences for the hour, by sketches alone."""
-    return hourly_fences(trip_readings(spark, sf), "license", "hour", "trip_id", "duration_us")
+    """Trips whose duration, pickup longitude or pickup latitude (field_name) is outside their license's fences for the hour, by sketches alone."""
+    t = cut(trip_readings(spark, sf))
+    each = [hourly_fences(t, "license", "hour", "trip_id", value).select("trip_id", F.lit(name).alias("field_name"), "low", "high", "kind") for name, value in HOURLY_VALUES.items()]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -302,3 +302,15 @@ def test_skeleton_rules():
     assert resolve_skeleton("xpbx") == [(1, 1, False), (4, 1, False)]
     assert resolve_skeleton("qxpxq") == [(1, 5, True)]
     assert resolve_skeleton("") == [] and resolve_skeleton("p") == []
+
+
+def test_hourly_fences_of_the_location(spark, tmp_path):
+    from quillspan.plans.problems import p6_hourly_fences
+
+    at = lambda minute: dt.datetime(2024, 1, 1, 8, minute)
+    rows = [(i, "a", at(i), at(i + 5 + i % 5), -74.0 + i / 1000, 40.0 + i % 7 / 1000) for i in range(40)]
+    rows += [(100, "a", at(41), at(48), -70.0, 40.003), (101, "a", at(42), at(49), -73.98, 44.0)]
+    rows += [(200 + i, "b", at(i), at(i + 5 + i % 5), -74.0, 40.0 + i % 7 / 1000) for i in range(10)]
+    spark.createDataFrame(rows, "trip_id bigint, license string, pickup_time timestamp, dropoff_time timestamp, pickup_lon double, pickup_lat double").write.parquet(f"{tmp_path}/trips.parquet")
+    got = {(r.trip_id, r.field_name, r.kind) for r in p6_hourly_fences(spark, str(tmp_path)).collect()}
+    assert got == {(100, "pickup_lon", "outside"), (101, "pickup_lat", "outside")} | {(200 + i, "pickup_lon", "constant") for i in range(10)}
