@@ -50,8 +50,8 @@ def classify(data: DataFrame, features: list[str], label: str, kind: str = "tree
 
 
 def regress(train: DataFrame, test: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11):
-    """(model, predictions on ``test``, rmse) of a random forest over assembled columns."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)])
+    """(model, predictions on ``test``, rmse) of a random forest over assembled columns; a null or NaN feature is an error."""
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)])
     ev = RegressionEvaluator(labelCol=label, metricName="rmse")
     model = cross_validate(pipe, grid or REGRESSION_GRID, ev, train, folds, seed)
     p = model.transform(test)

@@ -181,3 +181,11 @@ def test_model_queries_search_the_whole_grids(spark, monkeypatch):
         first, searched, folds = e.value.args
         assert (searched, folds) == (grid, 5)
         assert name == "rf_regressor_cv" or first.getNumFeatures() == 32768
+
+
+def test_regression_refuses_null_features(spark):
+    from quillspan.operators.ml import regress
+
+    rows = spark.createDataFrame([(float(i), float(i % 7)) for i in range(40)], "x double, label double")
+    with pytest.raises(Exception, match="(?i)null"):
+        regress(rows, spark.createDataFrame([(None, 1.0), (2.0, 2.0)], "x double, label double"), ["x"], "label", {"numTrees": [2]}, folds=2)
