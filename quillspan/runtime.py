@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a side that may be broadcast; beyond it every caller falls back to a shuffled join.
-BROADCAST_ROWS = 200_000
+#: Most bytes of a side that may be broadcast; beyond it every caller falls back to a shuffled join.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key beyond which a shuffled join treats the key as hot.
+HOT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +30,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a local one is made."""
+    """Uses the shared folder named by ``spark.checkpoint.dir``; where it is unset, one machine gets a local folder (removed at exit) and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="quillspan-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,9 +48,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast only if ``df`` (cheap to count, e.g. a checkpoint) is proven to hold at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` (cheap to read, e.g. a checkpoint), with 16 of overhead a row and a column; nested columns count as JSON."""
+
+    def width(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+        return F.lit(8)
+
+    row = sum((width(f) for f in df.schema.fields), F.lit(0)) + 16 * (1 + len(df.columns))
+    return int(df.agg(F.sum(row.cast("bigint"))).first()[0] or 0)
+
+
+def small_or_plain(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast only if ``df`` (cheap to read, e.g. a checkpoint) is proven to hold at most ``max_bytes``."""
+    return F.broadcast(df) if bytes_of(df) <= max_bytes else df
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, max_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, whose column ``count`` holds the key's number of rows (cheap to read, e.g. a checkpoint).
+
+    Proven small, ``per_key`` is broadcast. Otherwise only its hot keys are (at most one per ``hot_rows`` rows, and their size is checked too), so that
+    no task of the shuffled join for the rest meets more than ``hot_rows`` rows of a key.
+    """
+    if bytes_of(per_key) <= max_bytes:
+        return rows.join(F.broadcast(per_key), key)
+    hot = small_or_plain(per_key.where(F.col(count) > hot_rows), max_bytes)
+    cold = rows.join(small_or_plain(per_key.where(F.col(count) > hot_rows).select(key), max_bytes), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(per_key.where(F.col(count) <= hot_rows), key))
 
 
 def micros(col) -> F.Column:
