@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, small_or_plain
+from ..runtime import cut, join_per_key
 from .terms import listed_terms, one_row_per_record, with_term_counts
 
 #: Exponent that smooths the records' (contexts') shares, so that short records don't make every term look distinctive.
 SMOOTHING = 0.75
-#: Most terms that may be broadcast.
-VOCABULARY = 200_000
 
 
 def distinctive_terms(df: DataFrame, record: str, text: str, terms=listed_terms, empty_counts: bool = False, smoothing: float = SMOOTHING) -> DataFrame:
@@ -23,18 +21,18 @@ def distinctive_terms(df: DataFrame, record: str, text: str, terms=listed_terms,
     terms gives no rows. A term in every record has share_idf 0; other columns are ignored.
     """
     texts = one_row_per_record(df, record, text).where(F.col("text").rlike(r"[^\s\p{Z}]"))
-    rec = with_term_counts(texts, terms(F.col("text"))).withColumn("n_record", F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).drop("text")
+    # read, made unique and counted once: the margins and the joint counts both come from here
+    rec = cut(with_term_counts(texts, terms(F.col("text"))).select("record", "c", F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_record")))
     size = F.pow(F.col("n_record").cast("double"), F.lit(smoothing))
-    # The collection's totals travel with the term counts, as the row of a term that cannot occur. No filter on the counts themselves: it
-    # would be pushed below, and the terms found anew for every element.
+    # The collection's totals travel with the term counts, as the row of a term that cannot occur.
     total = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n_record").alias("n"), size.alias("z")))
     each = F.transform("c", lambda x: F.struct(x["term"].alias("term"), x["n"].cast("bigint").alias("n"), F.lit(0.0).alias("z")))
     emitted = rec.select(F.explode(F.when(F.lit(empty_counts) | (F.col("n_record") > 0), F.concat(total, each))).alias("e"))
     margins = cut(emitted.groupBy("e.term").agg(F.sum("e.n").alias("n_term"), F.count("*").alias("records_with"), F.sum("e.z").alias("z")))
     totals = margins.where("term is null").select(F.struct(F.col("n_term").alias("n_all"), F.col("records_with").alias("records"), F.col("z").alias("z_all"))).scalar()
-    joint = rec.select("record", "n_record", F.explode(F.when(F.size("c") > 0, F.col("c"))).alias("e")).select("record", "n_record", "e.term", "e.n")
-    # A vocabulary proven small is broadcast, and the rows stay where their record is; beyond that both sides are shuffled by term.
-    scored = joint.join(small_or_plain(margins.where("term is not null").select("term", "n_term", "records_with"), VOCABULARY), "term").withColumn("all", totals)
+    joint = rec.select("record", "n_record", F.explode("c").alias("e")).select("record", "n_record", "e.term", "e.n")
+    # A vocabulary proven small is broadcast, and the rows stay where their record is; beyond that only its frequent terms are, and the rest is shuffled by term.
+    scored = join_per_key(joint, margins.where("term is not null").select("term", "n_term", "records_with"), "term", "records_with").withColumn("all", totals)
     pmi = F.log(F.col("n") / F.col("n_term")) - F.log(size / F.col("all.z_all"))
     idf = F.log(F.col("all.records") / F.col("records_with"))
     return scored.select(

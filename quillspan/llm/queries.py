@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import cut, table
 from .chunking import split_oversized
 from .distinctive import distinctive_terms, top_terms
 from .frequency import term_frequencies
-from .mixing import mix, reached_shares
+from .mixing import mix, quotas, reached_shares, shard_shares
 from .packing import pack
 from .terms import word_terms
 
@@ -37,7 +37,8 @@ def _scored(spark: SparkSession, sf: str) -> list[DataFrame]:
 def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every term of every movie with its scores."""
     features, title = _scored(spark, sf)
-    return features.withColumn("field_name", F.lit("features")).unionByName(title.withColumn("field_name", F.lit("title")))
+    both = features.withColumn("field_name", F.lit("features")).unionByName(title.withColumn("field_name", F.lit("title")))
+    return both.withColumns({c: F.round(c, 9) for c in ("pmi", "ppmi", "share_idf")})
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +58,65 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return reached_shares(p9_mixture(spark, sf), table(spark, sf, "mix_targets"))
 
 
+#: Rows of a group in p8_checks, so few that the tree of levels is run on every table size.
+SMALL_GROUP = 128
+
+
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers when they are packed through the tree, as counts: one row per check."""
+    capacity = _limit(spark, sf, "container")[0]
+    p = cut(pack(table(spark, sf, "documents"), "doc_id", "text", capacity, group_items=SMALL_GROUP).where("container is not null"))
+    inner = Window.partitionBy("container").orderBy("at")
+    pieces = Window.partitionBy("doc_id").orderBy("piece")
+    p = p.withColumn("gap", F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("n_tokens")).over(inner), F.lit(0)))
+    p = p.withColumn("hole", F.col("start_token") != F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(pieces), F.lit(0)))
+    per = p.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count_if("gap").alias("gaps"))
+    c = per.agg(F.count_if(F.col("n") > capacity).alias("over"), F.sum("gaps").alias("gaps"), F.count("*").alias("made"), F.sum("n").alias("tokens"))
+    d = p.groupBy("doc_id").agg(F.count("*").alias("parts"), F.count_if("hole").alias("holes")).agg(F.count("*").alias("docs"), F.count_if(F.col("parts") > 1).alias("divided"), F.sum("holes").alias("holes"))
+    counts = {
+        "documents placed": F.col("docs"), "tokens placed": F.col("tokens"), "documents divided": F.col("divided"), "containers over the capacity": F.col("over"), "gaps or overlaps in containers": F.col("gaps"),
+        "holes in documents": F.col("holes"), "less than 98 percent full": (F.col("tokens") < 0.98 * capacity * (F.col("made") - 1)).cast("int"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v.cast("bigint"), F.lit(0)).alias("value")) for k, v in counts.items()])
+    return c.join(F.broadcast(d)).select(F.explode(rows).alias("r")).select("r.name", "r.value")  # one row each
+
+
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """source, quota_tokens, reached, within_repeats, in_every_shard, known: what must hold of each source of the mixture, in four shards.
+
+    Reached: the tokens are the quota, or more by part of one document. In every shard: they are a fourth of it, to a tenth or the source's largest document.
+    """
+    docs, targets, shards = table(spark, sf, "documents"), table(spark, sf, "mix_targets"), 4
+    m = cut(mix(docs, "doc_id", "text", "source", targets, shards=shards))
+    d = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.octet_length("text").cast("bigint").alias("size")).where("size > 0")
+    most = d.groupBy("source").agg(F.max("size").alias("largest"), F.sum("size").alias("n"))
+    quota = quotas({r["source"]: r["n"] for r in most.where("source is not null").collect()}, [tuple(r) for r in targets.select("source", "target_share", "max_repeats").collect()])  # one row per source
+    limits = spark.createDataFrame(list(quota.items()), "source string, quota double").join(most, "source").join(targets.select(F.lower(F.trim("source")).alias("source"), "max_repeats"), "source")
+    twice = m.groupBy("doc_id", "copy").count().agg(F.max("count").alias("same"))
+    known = m.join(d, ["doc_id", "source"], "left").groupBy("source").agg(F.count_if(F.coalesce(F.col("size") != F.col("n_tokens"), F.lit(True))).alias("strange"), F.sum("n_tokens").alias("got"), F.max("copy").alias("copies"))
+    by_shard = shard_shares(m).join(limits, "source").withColumn("off", F.abs(F.col("n_tokens") - F.col("quota") / shards) > F.greatest(F.col("quota") / shards / 10, F.col("largest")))
+    spread = by_shard.groupBy("source").agg(F.count_if("off").alias("off"), F.count("*").alias("in_shards"))
+    return limits.join(known, "source").join(spread, "source").join(F.broadcast(twice)).select(
+        "source", F.round("quota").cast("bigint").alias("quota_tokens"), F.col("got").between(F.floor("quota"), F.ceil("quota") + F.col("largest")).alias("reached"),
+        ((F.col("copies") <= F.col("max_repeats")) & (F.col("same") == 1)).alias("within_repeats"), ((F.col("off") == 0) & ((F.col("in_shards") == shards) | (F.col("quota") / shards <= F.col("largest")))).alias("in_every_shard"), (F.col("strange") == 0).alias("known"),
+    )
+
+
+def p10_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, n_tokens, first_start, whole, within_limit, overlapping, exact: what must hold of each divided document's pieces, and the size they add up to."""
+    limit, overlap = _limit(spark, sf, "piece")
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    p = p10_pieces(spark, sf).withColumn("before", F.lag("end_token").over(w)).join(docs, "doc_id")
+    new = F.col("start_token") + F.col("overlap_tokens")
+    repeats = F.when(F.col("before").isNull(), F.col("overlap_tokens") == 0).otherwise(F.col("overlap_tokens").between(F.least(F.lit(overlap), "before"), overlap + 3))
+    return p.groupBy("doc_id").agg(
+        F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("n_tokens"), F.min("start_token").alias("first_start"), F.every(new == F.coalesce("before", F.lit(0))).alias("whole"),
+        F.every(F.col("n_tokens") <= limit).alias("within_limit"), F.every(repeats).alias("overlapping"),
+        F.every(F.encode("text", "UTF-8") == F.substring("data", F.col("start_token").cast("int") + 1, F.col("n_tokens").cast("int"))).alias("exact"),
+    )
+
+
 def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     limit, overlap = _limit(spark, sf, "piece")
     return split_oversized(table(spark, sf, "documents"), "doc_id", "text", limit, overlap)
@@ -66,7 +126,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pieces(spark, sf).where("piece = 2").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p5_found, p5_scores, p8_containers, p9_mixture, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p5_found, p5_scores, p8_containers, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_pieces, p10_checks)}
 
 _TERMS = r"""
 WITH f AS (SELECT movie_id, min(features) AS features FROM movie_features GROUP BY movie_id),
@@ -86,14 +146,35 @@ sz AS (SELECT 'features' AS field_name, count(DISTINCT movie_id) AS total FROM w
 tf AS (SELECT field_name, movie_id, term, count(*) AS n FROM al GROUP BY ALL),
 ln AS (SELECT field_name, movie_id, count(*) AS len FROM al GROUP BY ALL),
 df AS (SELECT field_name, term, count(*) AS d FROM tf GROUP BY ALL),
-sc AS (SELECT field_name, movie_id, term, n / len * ln(total / d) AS score FROM tf JOIN ln USING (field_name, movie_id) JOIN df USING (field_name, term) JOIN sz USING (field_name)),
-mx AS (SELECT *, max(score) OVER (PARTITION BY field_name, movie_id) AS best FROM sc)
+sc AS (SELECT field_name, movie_id, term, n, len, d, total, n / len * ln(total / d) AS score FROM tf JOIN ln USING (field_name, movie_id) JOIN df USING (field_name, term) JOIN sz USING (field_name))
+"""
+_BEST = _DISTINCT + """, mx AS (SELECT *, max(score) OVER (PARTITION BY field_name, movie_id) AS best FROM sc)
 SELECT field_name, movie_id, term FROM mx WHERE score >= best - abs(best) * 1e-12
 """
+_SCORES = _DISTINCT + """, tm AS (SELECT field_name, term, CAST(sum(n) AS BIGINT) AS n_term FROM tf GROUP BY ALL), zs AS (SELECT field_name, sum(pow(len, 0.75)) AS z FROM ln GROUP BY ALL),
+pm AS (SELECT *, ln(n / n_term) - ln(pow(len, 0.75) / z) AS pmi FROM sc JOIN tm USING (field_name, term) JOIN zs USING (field_name))
+SELECT field_name, movie_id, term, n, len AS n_record, n_term, d AS records_with, total AS records, round(pmi, 9) AS pmi, round(greatest(pmi, 0), 9) AS ppmi, round(score, 9) AS share_idf FROM pm
+"""
+_SIZES = """
+WITH cap AS (SELECT max_tokens AS m FROM size_limits WHERE purpose = 'container'), d AS (SELECT octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0)
+SELECT 'documents placed' AS name, count(*) AS value FROM d UNION ALL SELECT 'tokens placed', CAST(coalesce(sum(n), 0) AS BIGINT) FROM d UNION ALL SELECT 'documents divided', count(*) FROM d, cap WHERE n > m
+UNION ALL SELECT unnest(['containers over the capacity', 'gaps or overlaps in containers', 'holes in documents', 'less than 98 percent full']), 0
+"""
+_QUOTAS = """
+WITH d AS (SELECT lower(trim(source)) AS source, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0), s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1),
+t AS (SELECT lower(trim(m.source)) AS source, target_share, max_repeats, n FROM mix_targets m JOIN s ON s.source = lower(trim(m.source))),
+g AS (SELECT min(n * max_repeats * (SELECT sum(target_share) FROM t) / target_share) AS goal FROM t)
+SELECT source, CAST(round(goal * target_share / (SELECT sum(target_share) FROM t)) AS BIGINT) AS quota_tokens, true AS reached, true AS within_repeats, true AS in_every_shard, true AS known FROM t, g
+"""
 
 SQL = {
     "p1_found": _FREQ + "SELECT term, mark FROM r WHERE mark IS NOT NULL",
     "p1_frequencies": _FREQ + "SELECT term, occurrences, records, share, mark FROM r",
-    "p5_found": _DISTINCT,
+    "p5_found": _BEST,
+    "p5_scores": _SCORES,
+    "p8_checks": _SIZES,
+    "p9_checks": _QUOTAS,
+    "p10_checks": "SELECT doc_id, octet_length(encode(text)) AS n_tokens, CAST(0 AS BIGINT) AS first_start, true AS whole, true AS within_limit, true AS overlapping, true AS exact FROM documents "
+    "WHERE octet_length(encode(text)) > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
     "p10_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > (SELECT max_tokens FROM size_limits WHERE purpose = 'piece')",
 }

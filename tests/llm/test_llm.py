@@ -9,10 +9,10 @@ import pytest
 from oracle import SF, same
 
 from quillspan.llm import queries as Q
-from quillspan.llm.chunking import cut_points, landmarks, split_oversized
+from quillspan.llm.chunking import WINDOW, cut_points, split_oversized, strengths
 from quillspan.llm.distinctive import distinctive_terms, top_terms
 from quillspan.llm.frequency import term_frequencies
-from quillspan.llm.mixing import mix, reached_shares, split_quotas
+from quillspan.llm.mixing import SplitTree, mix, reached_shares, shard_shares, split_quotas
 from quillspan.llm.packing import best_fit, pack
 from quillspan.llm.terms import word_terms
 
@@ -77,7 +77,7 @@ def test_containers_hold_every_byte_once(spark, group_items):
     rng = random.Random(group_items)
     docs = [(n, "é" * rng.randrange(1, 40) if n % 3 else "x" * rng.choice([1, 99, 100, 101, 250])) for n in range(300)] + [(900, None), (901, ""), (902, "日本" * 200), (5, "again")]
     df = spark.createDataFrame([(*d, "clash") for d in docs], "id bigint, t string, size string").repartition(5)
-    rows = pack(df, "id", "t", 100, group_items=group_items, fan_in=3).collect()
+    rows = pack(df, "id", "t", 100, group_items=group_items).collect()
     held = defaultdict(int)
     parts = defaultdict(list)
     for r in rows:
@@ -104,6 +104,22 @@ def test_containers_hold_every_byte_once(spark, group_items):
     assert all(a + n == b for rs in by.values() for (a, n), (b, _) in zip(sorted(rs), sorted(rs)[1:]))
 
 
+@pytest.mark.parametrize("name", ["over half", "three fifths", "a third", "any"])
+def test_no_group_exceeds_its_bound_and_little_is_wasted(spark, name):
+    rng = random.Random(name)
+    size = {"over half": lambda: rng.randrange(511, 901), "three fifths": lambda: 600, "a third": lambda: 340, "any": lambda: rng.randrange(1, 1001)}[name]
+    sizes = [size() for _ in range(6000)]
+    df = spark.createDataFrame([(n, "x" * k) for n, k in enumerate(sizes)], "id bigint, t string")
+    made = pack(df, "id", "t", 1000, group_items=1000).select("container").distinct().count()  # a larger group would raise
+    assert made <= 1.02 * len(best_fit(sizes, 1000))
+
+
+def test_rows_of_one_id_are_packed_in_many_groups(spark):
+    df = spark.createDataFrame([(None if n % 2 else 7, "y" * 40) for n in range(500)], "id bigint, t string")
+    rows = pack(df, "id", "t", 100, group_items=50).collect()
+    assert Counter(r.id for r in rows) == {7: 250, None: 250} and len({r.container for r in rows}) == 250
+
+
 def test_no_items(spark):
     assert pack(spark.createDataFrame([], "id bigint, t string"), "id", "t", 10).count() == 0
 
@@ -119,8 +135,37 @@ def test_containers_of_the_documents_waste_little(spark):
 
 def test_quotas_are_exact():
     counts = np.array([1000, 10, 0, 333])
-    q = split_quotas(counts, 13, np.random.default_rng(2))
+    q = split_quotas(counts, 13, 2)
     assert (q.sum(axis=0) == counts).all() and np.ptp(q.sum(axis=1)) <= 1 and (q >= 0).all()
+    tree = SplitTree(counts, 13, 2)
+    assert (np.array([np.bincount([tree.shard(k, b) for b in range(n)], minlength=13) for k, n in enumerate(counts)]).T == q).all()
+
+
+@pytest.mark.parametrize("shards", [7, 4096])
+def test_every_shard_holds_the_mixture(spark, shards):
+    rng = random.Random(shards)
+    docs = [(n, rng.choice(["a", "a", "a", "b", "c"]), "x" * rng.randrange(1, 4)) for n in range(300_000 if shards > 7 else 20_000)]
+    df = spark.createDataFrame(docs, "id bigint, s string, t string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    m = mix(df, "id", "t", "s", targets, shards=shards, min_blocks=4, line_docs=7000)
+    goal = m.agg({"n_tokens": "sum"}).first()[0] / shards
+    held = {(r.shard, r.source): r.n_tokens for r in shard_shares(m).collect()}
+    assert len(held) == 3 * shards and {k for k, _ in held} == set(range(shards))
+    # to a document at either end and a block of those left over
+    for (_, source), n in held.items():
+        share = {"a": 0.5, "b": 0.3, "c": 0.2}[source]
+        assert abs(n - share * goal) <= max(0.1 * share * goal, 3) + 2 * 0.2 * goal / 4
+    if shards == 7:
+        places = defaultdict(list)
+        for r in m.collect():
+            places[r.shard].append(r.place)
+        assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+
+
+def test_more_targets_than_planned_for_are_an_error(spark):
+    targets = spark.range(10_001).selectExpr("string(id) as source", "0.1 as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError):
+        mix(spark.createDataFrame([(1, "x", "a")], "id bigint, t string, s string"), "id", "t", "s", targets)
 
 
 def test_mixture_holds_its_shares(spark):
@@ -144,8 +189,20 @@ def test_mixture_holds_its_shares(spark):
 
 
 def test_shares_reached_on_the_documents(spark):
-    for r in Q.p9_shares(spark, SF).collect():
+    rows = Q.p9_shares(spark, SF).collect()
+    there = sum(r.target_share for r in rows if r.n_docs)
+    largest = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(octet_length(text))").first()[0]
+    total = sum(r.n_tokens for r in rows)
+    for r in rows:
         assert r.most_copies <= r.max_repeats
+        assert not r.n_docs or abs(r.n_tokens - r.target_share / there * total) <= 2 * largest
+
+
+def test_rows_without_id_and_equal_rows_are_mixed_too(spark):
+    df = spark.createDataFrame([(None, "xx", "a")] * 40 + [(1, "xx", "a")] * 40 + [(2, "yyy", "b")], "id bigint, t string, s string")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 6)], "source string, target_share double, max_repeats int")
+    rows = mix(df, "id", "t", "s", targets, shards=2).collect()
+    assert Counter((r.id, r.source) for r in rows) == {(None, "a"): 40, (1, "a"): 40, (2, "b"): 6} and {r.shard for r in rows} == {0, 1}
 
 
 # ------------------------------------------------------------------ pieces
@@ -179,22 +236,34 @@ def test_pieces_end_at_natural_boundaries():
         assert data[e - 1 : e] in (b" ", b"\n")
 
 
-def test_an_edit_changes_only_neighbouring_pieces():
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+@pytest.mark.parametrize(("limit", "overlap"), [(1024, 64), (4096, 256), (65_536, 1024)])
+def test_an_edit_changes_only_neighbouring_pieces(limit, overlap):
+    rng = random.Random(limit)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    words = [word() + rng.choice(["", "", "", "", ",", ".", ".\n", ".\n\n"]) for _ in range(limit * 4)]
     one = " ".join(words).encode()
-    two = " ".join([*words[:5000], "inserted", "words", *words[5000:]]).encode()
-    cores = lambda d: {d[a:e] for _, a, e in cut_points(d, 1024, 64)}
-    a, b = cores(one), cores(two)
-    assert len(a - b) <= 0.1 * len(a)
-
-
-def test_landmarks_depend_on_their_window_only():
+    cuts = cut_points(one, limit, overlap)
+    assert sum(e - s for s, _, e in cuts[:-1]) >= 0.68 * limit * len(cuts[:-1])
+    cores = lambda d: {d[a:e] for _, a, e in cut_points(d, limit, overlap)}
+    was, changed = cores(one), []
+    for size in (14, 200, 1000, 5000) * (60 if limit < 5000 else 6):
+        at = rng.randrange(len(one))
+        extra = " ".join(word() for _ in range(size // 5)).encode()[:size]
+        changed.append(len(was - cores(one[:at] + extra + one[at:])))
+    assert sum(changed) / len(changed) <= 2.3
+
+
+def test_strength_depends_on_its_window_only():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 256, 20_000).astype(np.uint8)
-    a, b = landmarks(x), landmarks(x[500:])
-    assert set((b + 500).tolist()) == {p for p in a.tolist() if p >= 532}
-    assert len(landmarks(x[:10])) == 0
+    assert (strengths(x)[500:] == strengths(x[500:])).all() and len(strengths(x)) == 20_000 - WINDOW + 1
+    assert len(strengths(x[:10])) == 0
+
+
+def test_a_short_piece_ends_at_the_last_boundary_before_a_long_stretch():
+    data = b"Head\n\nmore words here " + b"x" * 2000
+    s, a, e = cut_points(data, 512, 40)[0]
+    assert data[:e] == b"Head\n\nmore words here "
 
 
 def test_split_oversized(spark):
