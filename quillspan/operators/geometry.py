@@ -60,21 +60,62 @@ def _crosses(p, q, a, b) -> bool:
     return orient(*p, *q, *a) * orient(*p, *q, *b) <= 0 and orient(*a, *b, *p) * orient(*a, *b, *q) <= 0
 
 
+def _in_cone(before, at, after, p) -> bool:
+    """The direction from ``at`` to ``p`` runs inside the (counter-clockwise) ring at this corner."""
+    if orient(*at, *after, *before) >= 0:
+        return orient(*at, *p, *before) > 0 and orient(*p, *at, *after) > 0
+    return not (orient(*at, *p, *after) >= 0 and orient(*p, *at, *before) >= 0)
+
+
 def _bridge(outer: list, hole: list, others: list[list]) -> list:
-    """Joins a hole to the outer ring along the shortest segment that crosses no ring."""
-    edges = [e for r in (outer, hole, *others) for e in zip(r, r[1:] + r[:1])]
-    near = sorted(((h[0] - o[0]) ** 2 + (h[1] - o[1]) ** 2, i, j) for i, o in enumerate(outer) for j, h in enumerate(hole))
-    for _, i, j in near:
-        if not any(_crosses(outer[i], hole[j], a, b) for a, b in edges):
-            return outer[: i + 1] + hole[j:] + hole[: j + 1] + outer[i:]
+    """Joins a hole to the outer ring along a segment that crosses no ring: from its rightmost corner that has one, to the nearest corner possible."""
+    o = np.array(outer)
+    ends = [np.array(r) for r in (outer, hole, *others)]
+    a, b = np.concatenate(ends), np.concatenate([np.roll(r, -1, axis=0) for r in ends])
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    for j in sorted(range(len(hole)), key=lambda k: -hole[k][0]):
+        h = hole[j]
+        for i in np.argsort(((o - h) ** 2).sum(axis=1), kind="stable").tolist():
+            p = outer[i]
+            if not _in_cone(outer[i - 1], p, outer[(i + 1) % len(outer)], h):
+                continue
+            near = np.flatnonzero((lo[:, 0] <= max(p[0], h[0])) & (hi[:, 0] >= min(p[0], h[0])) & (lo[:, 1] <= max(p[1], h[1])) & (hi[:, 1] >= min(p[1], h[1])))
+            if not any(_crosses(p, h, tuple(a[k].tolist()), tuple(b[k].tolist())) for k in near):
+                return outer[: i + 1] + hole[j:] + hole[: j + 1] + outer[i:]
     raise ValueError("a hole can't be joined to its outer ring")
 
 
+class _Corners:
+    """The corners of a ring that can lie in an ear: the ones that don't turn left, found by cells of a grid, or all at once for large boxes."""
+
+    def __init__(self, pts: np.ndarray):
+        self.pts, self.live = pts, np.zeros(len(pts), bool)
+        self.side = max(1, int(len(pts) ** 0.5))
+        self.lo = pts.min(axis=0)
+        size = np.maximum(pts.max(axis=0) - self.lo, 1e-300)
+        self.scale = self.side / size
+        self.cell = np.clip((pts - self.lo) * self.scale, 0, self.side - 1).astype(int).tolist()
+        self.held: dict[tuple[int, int], set[int]] = {}
+
+    def put(self, i: int, there: bool) -> None:
+        if there != self.live[i]:
+            self.live[i] = there
+            at = self.held.setdefault(tuple(self.cell[i]), set())
+            (at.add if there else at.discard)(i)
+
+    def within(self, x0: float, y0: float, x1: float, y1: float) -> list[int]:
+        c0, c1 = np.clip((np.array([[x0, y0], [x1, y1]]) - self.lo) * self.scale, 0, self.side - 1).astype(int).tolist()
+        if (c1[0] - c0[0] + 1) * (c1[1] - c0[1] + 1) <= 64:
+            return [i for u in range(c0[0], c1[0] + 1) for v in range(c0[1], c1[1] + 1) for i in self.held.get((u, v), ())]
+        p = self.pts
+        return np.flatnonzero(self.live & (p[:, 0] >= x0) & (p[:, 0] <= x1) & (p[:, 1] >= y0) & (p[:, 1] <= y1)).tolist()
+
+
 def ear_clip(rings: list[list]) -> list[tuple]:
     """Triangles (ax, ay, bx, by, cx, cy), counter-clockwise, that tile the polygon whose first ring is its border and the rest its holes.
 
     Rings may run either way, be concave and be closed or not; fewer than three distinct points give no triangle. No point is moved,
-    so with exact tests a point is in a triangle exactly if it is in the closed polygon.
+    so with exact tests a point is in a triangle exactly if it is in the closed polygon. Rings that cross are a ValueError.
     """
     rings = [r for r in map(_clean, rings)]
     if not rings or len(rings[0]) < 3:
@@ -84,50 +125,82 @@ def ear_clip(rings: list[list]) -> list[tuple]:
     holes.sort(key=lambda r: -max(r)[0])
     for k, h in enumerate(holes):
         outer = _bridge(outer, h, holes[k + 1 :])
-    out, idx = [], list(range(len(outer)))
-    turn = 0
-    while len(idx) > 2:
-        n, clipped = len(idx), False
-        for step in range(n):
-            k = (turn + step) % n
-            a, b, c = outer[idx[k - 1]], outer[idx[k]], outer[idx[(k + 1) % n]]
-            o = orient(*a, *b, *c)
-            if o < 0:
-                continue
-            if o > 0:
-                rest = np.array([outer[i] for i in idx])
-                inside = (rest[:, 0] >= min(a[0], b[0], c[0])) & (rest[:, 0] <= max(a[0], b[0], c[0])) & (rest[:, 1] >= min(a[1], b[1], c[1])) & (rest[:, 1] <= max(a[1], b[1], c[1]))
-                if any(p not in (a, b, c) and orient(*a, *b, *p) >= 0 and orient(*b, *c, *p) >= 0 and orient(*c, *a, *p) >= 0 for p in map(tuple, rest[inside].tolist())):
-                    continue
+    n = len(outer)
+    before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+    corners = _Corners(np.array(outer))
+    turn = lambda i: orient(*outer[before[i]], *outer[i], *outer[after[i]])
+    for i in range(n):
+        corners.put(i, turn(i) <= 0)
+
+    def is_ear(i: int) -> bool:
+        a, b, c = outer[before[i]], outer[i], outer[after[i]]
+        for k in corners.within(min(a[0], b[0], c[0]), min(a[1], b[1], c[1]), max(a[0], b[0], c[0]), max(a[1], b[1], c[1])):
+            p = outer[k]
+            if p != a and p != b and p != c and orient(*a, *b, *p) >= 0 and orient(*b, *c, *p) >= 0 and orient(*c, *a, *p) >= 0:
+                return False
+        return True
+
+    def drop(i: int) -> None:
+        u, v = before[i], after[i]
+        after[u], before[v] = v, u
+        corners.put(i, False)
+        for w in (u, v):
+            corners.put(w, turn(w) <= 0)
+
+    out, i, left, missed = [], 0, n, 0
+    while left > 2:
+        a, b, c = outer[before[i]], outer[i], outer[after[i]]
+        o = orient(*a, *b, *c)
+        # without an area, a corner flat between its neighbours or a spike goes at once, another one only if nothing else can
+        flat = o == 0 and (missed > left or a == c or (min(a[0], c[0]) <= b[0] <= max(a[0], c[0]) and min(a[1], c[1]) <= b[1] <= max(a[1], c[1])))
+        if flat or (o > 0 and is_ear(i)):
+            if not flat:
                 out.append((*a, *b, *c))
-            elif a != c and not (min(a[0], c[0]) <= b[0] <= max(a[0], c[0]) and min(a[1], c[1]) <= b[1] <= max(a[1], c[1])):
-                continue  # a spike that isn't flat between its neighbours is left for later
-            idx.pop(k)
-            turn, clipped = k % max(len(idx), 1), True
-            break
-        if not clipped:
-            k = next((k for k in range(len(idx)) if orient(*outer[idx[k - 1]], *outer[idx[k]], *outer[idx[(k + 1) % len(idx)]]) == 0), None)
-            if k is None:
+            drop(i)
+            left, missed, i = left - 1, 0, after[after[i]]  # the next corner but one, lest a fan of slivers arise
+        else:
+            i, missed = after[i], missed + 1
+            if missed > 2 * left + 1:
                 raise ValueError("the ring crosses itself")
-            idx.pop(k)
+    tiled, whole = sum(_area2([t[0:2], t[2:4], t[4:6]]) for t in out), abs(_area2(rings[0])) - sum(abs(_area2(h)) for h in holes)
+    if abs(tiled - whole) > abs(whole) * Fraction(1, 10**9):
+        raise ValueError("the ring crosses itself")
     return out
 
 
-def geojson_triangles(text: str | None) -> list[tuple]:
-    """Triangles of a GeoJSON Polygon, MultiPolygon, Feature or GeometryCollection; none if the text is null or no such geometry."""
-    try:
-        g = json.loads(text) if text else None
-    except ValueError:
-        g = None
-    if not isinstance(g, dict):
-        return []
-    kind = g.get("type")
+def _polygons(g) -> list:
+    kind = g.get("type") if isinstance(g, dict) else None
     if kind == "Feature":
-        return geojson_triangles(json.dumps(g.get("geometry")))
+        return _polygons(g.get("geometry"))
     if kind == "GeometryCollection":
-        return [t for x in g.get("geometries", []) for t in geojson_triangles(json.dumps(x))]
-    parts = {"Polygon": lambda: [g["coordinates"]], "MultiPolygon": lambda: g["coordinates"]}.get(kind, list)()
-    return [t for rings in parts for t in ear_clip(rings)]
+        return [p for x in g.get("geometries") or [] for p in _polygons(x)]
+    return {"Polygon": lambda: [g["coordinates"]], "MultiPolygon": lambda: g["coordinates"]}.get(kind, list)()
+
+
+def triangulate(text: str | None) -> tuple[list[tuple], str | None]:
+    """Triangles of a GeoJSON Polygon, MultiPolygon, Feature or GeometryCollection, and why there are none: ``no polygon`` or what is wrong with it."""
+    try:
+        parts = _polygons(json.loads(text)) if text else []
+    except (ValueError, KeyError, AttributeError):
+        parts = []
+    try:
+        out = [t for rings in parts for t in ear_clip(rings)]
+    except ValueError as e:
+        return [], str(e)
+    except (TypeError, IndexError, KeyError, OverflowError):
+        return [], "broken coordinates"
+    return out, None if out else "no polygon"
+
+
+def geojson_triangles(text: str | None) -> list[tuple]:
+    """The triangles alone; a broken geometry has none."""
+    return triangulate(text)[0]
+
+
+def geojson_area(text: str | None) -> float | None:
+    """Area in plane coordinates, holes taken off; null if there is no sound polygon."""
+    out, why = triangulate(text)
+    return None if why else float(sum(_area2([t[0:2], t[2:4], t[4:6]]) for t in out) / 2)
 
 
 # ---------------------------------------------------------------- bounding-volume hierarchy

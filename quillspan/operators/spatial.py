@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut
-from .geometry import Bvh, geojson_triangles, orient_many
+from .geometry import Bvh, geojson_area, orient_many, triangulate
 
 #: Radius in metres of the sphere on which distances are measured.
 EARTH_M = 6_371_000.0
@@ -30,14 +30,14 @@ _TARGET = "target_id bigint, kind string, g array<double>"
 
 
 def region_triangles(regions: DataFrame, region_id: str, geojson: str) -> DataFrame:
-    """Targets of the kind ``region``: one row per triangle. Null or broken geometries have none."""
+    """Targets of the kind ``region``: one row per triangle. Null or broken geometries have none (``region_faults`` names them)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tris = [], []
             for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if i is not None:
-                    t = geojson_triangles(g)
+                    t = triangulate(g)[0]
                     ids += [i] * len(t)
                     tris += [list(x) for x in t]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["region"] * len(ids), pa.string()), pa.array(tris, pa.list_(pa.float64()))], ["target_id", "kind", "g"])
@@ -45,6 +45,22 @@ def region_triangles(regions: DataFrame, region_id: str, geojson: str) -> DataFr
     return regions.select(F.col(region_id).cast("bigint"), F.col(geojson)).mapInArrow(cut_up, _TARGET)
 
 
+def region_facts(regions: DataFrame, region_id: str, geojson: str) -> DataFrame:
+    """region_id, area (plane), fault: one row per feature with an id; fault says why a feature has no triangles, and then area is null."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([geojson_area(x) for x in g], pa.float64()), pa.array([triangulate(x)[1] for x in g], pa.string())], [region_id, "area", "fault"])
+
+    return regions.where(F.col(region_id).isNotNull()).select(F.col(region_id).cast("bigint").alias(region_id), F.col(geojson)).mapInArrow(look, f"`{region_id}` bigint, area double, fault string")
+
+
+def region_faults(regions: DataFrame, region_id: str, geojson: str) -> DataFrame:
+    """region_id, fault: the features without triangles, with the reason."""
+    return region_facts(regions, region_id, geojson).where("fault is not null").select(region_id, "fault")
+
+
 def point_targets(points: DataFrame, point_id: str, lon: str, lat: str, within_m: float) -> DataFrame:
     """Targets of the kind ``point``: a disc of ``within_m`` metres around each point. Points without a location have none."""
     return points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull() & F.col(point_id).isNotNull()).select(
@@ -107,27 +123,34 @@ def _targets(ids: list, kinds: list, gs: list) -> Targets:
     return Targets(np.array([i for i, _ in reg], dtype=np.int64), arr(reg, 6), arr(disc, 3), np.array([i for i, _ in disc], dtype=np.int64))
 
 
-def _emit(batch: pa.RecordBatch, n_keep: int, hit: tuple) -> pa.RecordBatch:
+def _emit(batch: pa.RecordBatch, n_keep: int, hit: tuple, outer: bool = False) -> pa.RecordBatch:
     at, tid, region = hit
-    idx = pa.array(at)
-    kinds = pa.DictionaryArray.from_arrays(pa.array(region.astype(np.int8)), pa.array(["point", "region"])).cast(pa.string())
+    miss = np.setdiff1d(np.arange(batch.num_rows), at) if outer else np.empty(0, np.int64)
+    idx, none = pa.array(np.r_[at, miss].astype(np.int64)), np.r_[np.zeros(len(at), bool), np.ones(len(miss), bool)]
+    fill = lambda v, kind: pa.array(np.r_[v, np.zeros(len(miss), v.dtype)], kind, mask=none)
+    kinds = pa.DictionaryArray.from_arrays(fill(region.astype(np.int8), pa.int8()), pa.array(["point", "region"])).cast(pa.string())
     names = [*batch.schema.names[:n_keep], "kind", "target_id"]
-    return pa.RecordBatch.from_arrays([*[batch.column(k).take(idx) for k in range(n_keep)], kinds, pa.array(tid, pa.int64())], names)
+    return pa.RecordBatch.from_arrays([*[batch.column(k).take(idx) for k in range(n_keep)], kinds, fill(np.asarray(tid, np.int64), pa.int64())], names)
 
 
 def _coords(batch: pa.RecordBatch, n_keep: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(n_keep + k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1))
 
 
-def match_points(points: DataFrame, keep: list[str], lon: str, lat: str, targets: DataFrame, first_region: bool = True, max_broadcast: int = MAX_BROADCAST, block_targets: int = BLOCK_TARGETS, group_points: int = GROUP_POINTS) -> DataFrame:
+def match_points(
+    points: DataFrame, keep: list[str], lon: str, lat: str, targets: DataFrame, first_region: bool = True, outer: bool = False, max_broadcast: int = MAX_BROADCAST, block_targets: int = BLOCK_TARGETS,
+    group_points: int = GROUP_POINTS,
+) -> DataFrame:
     """Columns ``keep`` of each point, kind (``point`` or ``region``) and target_id: one row per target that holds the point.
 
-    With ``first_region`` a point in several regions gets the lowest region id, otherwise all of them; a border belongs to its region.
-    Points without a location, or with one that isn't finite, and points that hit nothing give no row. Repeated points are each
-    matched. Longitudes and latitudes may be any number: on the sphere they are angles, in the plane coordinates.
-    """
+    With ``first_region`` a point in several regions gets the lowest region id, otherwise all of them; a border belongs to its region. A point without a
+    location, or with one that isn't finite, hits nothing. Points that hit nothing give no row or, with ``outer``, one whose kind and target_id are null.
+    Repeated points are each matched. Longitudes and latitudes may be any number: on the sphere they are angles, in the plane coordinates.
+    """
     spark = points.sparkSession
-    p = points.select(*keep, F.col(lon).cast("double").alias("_lon"), F.col(lat).cast("double").alias("_lat")).where("_lon is not null and _lat is not null")
+    p = points.select(*keep, F.col(lon).cast("double").alias("_lon"), F.col(lat).cast("double").alias("_lat"))
+    if not outer:
+        p = p.where("_lon is not null and _lat is not null")
     n_keep = len(keep)
     schema = T.StructType([*p.schema.fields[:n_keep], T.StructField("kind", T.StringType()), T.StructField("target_id", T.LongType())])
     targets = cut(targets)
@@ -138,15 +161,21 @@ def match_points(points: DataFrame, keep: list[str], lon: str, lat: str, targets
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = sent.value
             for b in batches:
-                yield _emit(b, n_keep, t.match(*_coords(b, n_keep), first_region))
+                yield _emit(b, n_keep, t.match(*_coords(b, n_keep), first_region), outer)
 
         return p.mapInArrow(run, schema)
-    hits = _match_blocks(p, n_keep, targets, schema, block_targets, group_points)
-    if not first_region:
-        return hits.distinct()
-    # a region may be spread over several blocks, and the lowest of a point's regions may be in any of them
-    uid = [F.col(c) for c in keep]
-    return hits.where("kind = 'point'").unionByName(hits.where("kind = 'region'").groupBy(*uid).agg(F.min("target_id").alias("target_id")).select(*keep, F.lit("region").alias("kind"), "target_id"))
+    # a point meets several blocks and a region may be spread over several: its hits are put together by the number of its row
+    at = p.columns[:n_keep]
+    p = cut(p.select(*at, F.monotonically_increasing_id().alias("_row"), "_lon", "_lat"))
+    hits = cut(_match_blocks(p, n_keep + 1, targets, T.StructType([*schema.fields[:n_keep], T.StructField("_row", T.LongType()), *schema.fields[n_keep:]]), block_targets, group_points))
+    near, inside = hits.where("kind = 'point'"), hits.where("kind = 'region'")
+    first = [F.any_value(c).alias(c) for c in at]
+    inside = inside.groupBy("_row").agg(*first, F.min("target_id").alias("target_id")) if first_region else inside.groupBy("_row", "target_id").agg(*first)
+    out = near.select(*at, "kind", "target_id").unionByName(inside.select(*at, F.lit("region").alias("kind"), "target_id"))
+    if outer:
+        none = p.join(hits.select("_row").distinct(), "_row", "left_anti")
+        out = out.unionByName(none.select(*at, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("target_id")))
+    return out
 
 
 def _match_blocks(p: DataFrame, n_keep: int, targets: DataFrame, schema: T.StructType, block_targets: int, group_points: int) -> DataFrame:
@@ -193,7 +222,7 @@ def _match_blocks(p: DataFrame, n_keep: int, targets: DataFrame, schema: T.Struc
     routed = cut(p.mapInArrow(route, T.StructType([*p.schema.fields, T.StructField("block", T.LongType())])))
     sizes = [(r["block"], -(-r["count"] // group_points)) for r in routed.groupBy("block").count().collect()]  # one row per block
     salts = lambda: F.broadcast(spark.createDataFrame(sizes, "block bigint, salts int"))
-    left = routed.join(salts(), "block").withColumn("salt", F.floor(F.rand(7) * F.col("salts")).cast("int"))
+    left = routed.join(salts(), "block").withColumn("salt", F.pmod(F.col("_row"), F.col("salts")).cast("int"))
     right = blocks.select(F.col("block").cast("bigint").alias("block"), "target_id", "kind", "g").join(salts(), "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trips as T
-from ..operators.spatial import match_points, region_triangles
-from ..runtime import table
+from ..operators.spatial import match_points, region_facts, region_triangles
+from ..runtime import cut, small_or_plain, table
 from .problems import GAP_H
 
 
@@ -22,8 +22,8 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_borough(spark: SparkSession, sf: str, trips: DataFrame) -> DataFrame:
     """Adds boroughcode of the drop-off, null if no borough holds it."""
-    hit = match_points(trips.select("trip_id", "dropoff_lon", "dropoff_lat"), ["trip_id"], "dropoff_lon", "dropoff_lat", region_triangles(table(spark, sf, "boroughs"), "boroughcode", "geojson"))
-    return trips.join(hit.select("trip_id", F.col("target_id").alias("boroughcode")), "trip_id", "left")
+    regions = region_triangles(table(spark, sf, "boroughs"), "boroughcode", "geojson")
+    return match_points(trips, trips.columns, "dropoff_lon", "dropoff_lat", regions, outer=True).drop("kind").withColumnRenamed("target_id", "boroughcode")
 
 
 _HALF = "pickup_lon = dropoff_lon and pickup_lat = dropoff_lat"
@@ -49,6 +49,17 @@ def trips_per_borough(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("boroughcode").agg(F.count("*").alias("n"))
 
 
+def trips_per_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """feature_id, n: each drop-off counts for the feature that holds it, of several for the one of the lowest borough code and then the greatest area."""
+    b = table(spark, sf, "boroughs")
+    t = T.sane(_trips(spark, sf), drop_zero=False)
+    hits = match_points(t, ["trip_id"], "dropoff_lon", "dropoff_lat", region_triangles(b, "feature_id", "geojson"), first_region=False)
+    order = b.select("feature_id", "boroughcode").join(region_facts(b, "feature_id", "geojson"), "feature_id")
+    best = F.struct("boroughcode", (-F.col("area")).alias("area"), "feature_id")
+    f = hits.join(small_or_plain(cut(order)), hits.target_id == order.feature_id)
+    return f.groupBy("trip_id").agg(F.min(best).alias("f")).groupBy("f.feature_id").agg(F.count("*").alias("n"))
+
+
 def trip_sum_avg_by_region(spark: SparkSession, sf: str) -> DataFrame:
     t = with_borough(spark, sf, _clean(spark, sf))
     return t.groupBy("boroughcode").agg(F.sum("hours").alias("sum_hours"), F.avg("hours").alias("mean_hours"), F.count("*").alias("n"))
@@ -104,7 +115,7 @@ def trip_wait_stats_region(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        trips_parse_good_bad, trip_hours_hist, trip_stats_diff_eq, trips_per_borough, trip_sum_avg_by_region, trip_sum_avg_by_dow, trip_group_cardinality, trip_busiest,
+        trips_parse_good_bad, trip_hours_hist, trip_stats_diff_eq, trips_per_borough, trips_per_feature, trip_sum_avg_by_region, trip_sum_avg_by_dow, trip_group_cardinality, trip_busiest,
         haversine_norm_by_hour, trip_wait_hist, trip_wait_stats_region_hour, trip_wait_stats_region,
     )
 }
@@ -138,6 +149,11 @@ SQL = {
     "trip_hours_hist": _BASE + "SELECT hours, count(*) AS cnt FROM g WHERE hours IS NOT NULL GROUP BY 1",
     "trip_stats_diff_eq": _BASE + f"SELECT {_HALF} AS same_location, count(*) AS n, CAST(sum(hours) AS BIGINT) AS sum_hours, avg(hours) AS mean_hours FROM c GROUP BY 1",
     "trips_per_borough": _PER_B + "SELECT * FROM p",
+    "trips_per_feature": _BASE
+    + _BOROUGH
+    + ", ar AS (SELECT feature_id, boroughcode, sum(part) AS area FROM (SELECT feature_id, boroughcode, (CASE WHEN ring_no = 1 THEN 1 ELSE -1 END) * abs(list_sum([s[1][1] * s[2][2] - s[2][1] * s[1][2] FOR s IN list_zip(ring, list_concat(ring[2:], ring[1:1]))])) / 2 AS part "
+    "FROM (SELECT feature_id, boroughcode, unnest(r) AS ring, unnest(range(1, len(r) + 1)) AS ring_no FROM (SELECT feature_id, boroughcode, from_json(json_extract(geojson, '$.coordinates'), '[[[\"DOUBLE\"]]]') AS r FROM boroughs))) GROUP BY ALL), "
+    "bf AS (SELECT trip_id, first(feature_id ORDER BY boroughcode, area DESC, feature_id) AS feature_id FROM ins JOIN ar USING (feature_id, boroughcode) JOIN c0 USING (trip_id) GROUP BY trip_id) SELECT feature_id, count(*) AS n FROM bf GROUP BY 1",
     "trip_sum_avg_by_region": _BASE + _BOROUGH + "SELECT boroughcode, CAST(sum(hours) AS BIGINT) AS sum_hours, avg(hours) AS mean_hours, count(*) AS n FROM c LEFT JOIN b USING (trip_id) GROUP BY 1",
     "trip_sum_avg_by_dow": _DOW + "SELECT * FROM d",
     "trip_group_cardinality": _PER_B + "SELECT count(*) AS n_groups FROM p",

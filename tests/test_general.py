@@ -16,7 +16,7 @@ from quillspan.operators.geometry import Bvh, ear_clip, geojson_triangles
 from quillspan.operators.multivalue import resolve_skeleton, split_values
 from quillspan.operators.rejects import MOVIES, TRIPS, read_with_rejects
 from quillspan.operators.sessions import gap_sessions
-from quillspan.operators.spatial import EARTH_M, match_points, point_targets, region_triangles
+from quillspan.operators.spatial import EARTH_M, match_points, point_targets, region_faults, region_triangles
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -130,6 +130,47 @@ def test_lower_code_wins_where_regions_overlap_and_borders_belong(spark):
     assert {(r.i, r.target_id) for r in match_points(p, ["i"], "x", "y", t, first_region=False).collect()} == {(1, 1), (2, 1), (2, 2), (3, 2), (5, 1), (5, 2), (6, 1)}
 
 
+def test_repeated_points_and_misses_come_alike_on_both_ways(spark):
+    sq = lambda a, b: f'{{"type":"Polygon","coordinates":[[[{a},{a}],[{b},{a}],[{b},{b}],[{a},{b}],[{a},{a}]]]}}'
+    t = region_triangles(spark.createDataFrame([(1, sq(0, 10)), (2, sq(5, 15))], "c int, g string"), "c", "g")
+    stands = spark.createDataFrame([(7, 7.0, 7.0), (8, 7.0, 7.0)], "id int, x double, y double")
+    t = t.unionByName(point_targets(stands, "id", "x", "y", 50.0))
+    rows = [("a", 7.0, 7.0)] * 3 + [("a", 1.0, 1.0), ("b", 40.0, 40.0), ("b", 40.0, 40.0), (None, None, 1.0), ("n", float("nan"), 1.0)]
+    p = spark.createDataFrame(rows, "i string, x double, y double")
+    for first in (True, False):
+        region = [("region", 1)] if first else [("region", 1), ("region", 2)]
+        want = Counter({("a", *k): 3 for k in [*region, ("point", 7), ("point", 8)]})
+        want["a", "region", 1] += 1
+        missed = Counter({("b", None, None): 2, (None, None, None): 1, ("n", None, None): 1})
+        for how in ({}, {"max_broadcast": 1, "block_targets": 2, "group_points": 2}):
+            assert Counter(tuple(r) for r in match_points(p, ["i"], "x", "y", t, first, **how).collect()) == want
+            assert Counter(tuple(r) for r in match_points(p, ["i"], "x", "y", t, first, outer=True, **how).collect()) == want + missed
+
+
+def test_broken_features_are_named_and_the_others_matched(spark):
+    poly = lambda *rings: __import__("json").dumps({"type": "Polygon", "coordinates": [[list(p) for p in r] for r in rings]})
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    rows = [(1, poly(square)), (2, poly([(0, 0), (4, 4), (4, 0), (0, 4)])), (3, None), (4, "{"), (5, '{"type":"Polygon","coordinates":[[["x",1],[2,3],[4,5]]]}'), (6, '{"type":"Point","coordinates":[1,2]}')]
+    rows += [(7, poly(square, [(9, 9), (10, 9), (10, 10)])), (8, '{"type":"Polygon"}'), (None, poly(square))]
+    df = spark.createDataFrame(rows, "c int, g string")
+    assert {r.c for r in region_faults(df, "c", "g").collect()} == {2, 3, 4, 5, 6, 7, 8}
+    assert {r.c: r.fault for r in region_faults(df, "c", "g").collect()}[2] == "the ring crosses itself"
+    assert {r.target_id for r in region_triangles(df, "c", "g").collect()} == {1}
+
+
+def test_ear_clipping_of_many_corners_with_holes_takes_little_time():
+    import time
+
+    rng = random.Random(8)
+    outer = star(rng, 20_000, lo=0.9)
+    holes = [star(rng, 300, 0.5 * math.cos(a), 0.5 * math.sin(a), 0.05, 0.1) for a in (0, 1, 2, 3, 4, 5)]
+    began = time.perf_counter()
+    tris = ear_clip([outer, *holes])
+    assert time.perf_counter() - began < 30
+    assert len(tris) == 20_000 + 6 * 302 - 2
+    assert math.isclose(sum(area([t[0:2], t[2:4], t[4:6]]) for t in tris), area(outer) - sum(map(area, holes)), rel_tol=1e-9)
+
+
 def test_hierarchy_finds_every_box():
     rng = np.random.default_rng(1)
     lo = rng.uniform(0, 1, (200, 3))
