@@ -1,9 +1,9 @@
-"""Implausible readings per source: impossible values, spikes against the source's usual behaviour, and stuck values.
+"""Implausible readings per source: impossible values, spikes, values outside the hour's fences, rates of change outside theirs, and stuck or constant values.
 
-Mergeable quantile sketches per source (and, for fences, per hour of the day) are built on the partitions and merged. The usual value is
-the exact median: the sketch gives a narrow bracket, rank counts prove that the median lies in it, and only the distinct values inside it
-are ranked, so no task ever holds a hot source's rows. Stuck series are found on a range-partitioned order, each task handing on only its
-border rows.
+Mergeable quantile sketches per source and hour of the day are built on the partitions and merged: those of an hour give its fences, those of all hours
+together the source's. Where the usual value must be the exact median, the merged sketch gives a narrow bracket, rank counts prove that the median lies in it,
+and only the distinct values inside it are ranked, so no task ever holds a hot source's rows. Series (rates of change, stuck values) are found on a
+range-partitioned order, each task handing on only its border rows.
 """
 
 from __future__ import annotations
@@ -16,61 +16,111 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, small_or_plain
+from ..runtime import cut, join_per_key
 
 #: Sketch size and the half-width in rank of the bracket taken around the median (about ten times the sketch's error).
 SKETCH_K, BRACKET = 400, 0.06
+#: Width of the fences in interquartile ranges, and the least number of readings that an hour (or a source) needs for fences of its own.
+REACH, HOUR_VALUES = 3.0, 8
 _INF = float("inf")
 
 
 @dataclass(frozen=True)
 class Measure:
-    """name; parts: the value's numeric columns (all must be known); impossible: SQL condition over the parts; spike: from a
-    list of (part, median) columns the condition for a spike."""
+    """name; parts: the value's numeric columns (all must be known); impossible: SQL condition over the parts; spike: from a list of
+    (part, median) columns the condition for a spike; fence: whether each part is judged by the fences of its source and hour, and as constant;
+    rate: whether each part's change per hour since the source's reading before is judged by such fences too."""
 
     name: str
     parts: tuple[str, ...]
-    impossible: str
-    spike: object
+    impossible: str = "false"
+    spike: object = None
+    fence: bool = False
+    rate: bool = False
 
 
 def exact_medians(df: DataFrame, source: str, parts: dict[str, Column]) -> DataFrame:
-    """source, n_<part>, med_<part>: number and exact median (mean of the middle two) of the non-null values; checkpointed."""
+    """source, n_rows, n_<part>, med_<part>: number of rows, number and exact median (mean of the middle two) of the non-null values; checkpointed."""
     names = list(parts)
-    v = df.select(F.col(source).alias("s"), *[c.cast("double").alias(p) for p, c in parts.items()])
-    has = lambda p: F.col(p).isNotNull()
-    sketches = v.groupBy("s").agg(*[F.kll_sketch_agg_double(p, SKETCH_K).alias(p) for p in names])
-    quant = lambda p, q: F.when(F.kll_sketch_get_n_double(p) > 0, F.kll_sketch_get_quantile_double(p, F.lit(q)))
-    bracket = cut(sketches.select("s", *[c for p in names for c in (quant(p, 0.5 - BRACKET).alias(f"lo_{p}"), quant(p, 0.5 + BRACKET).alias(f"hi_{p}"))]))
-    j = v.join(small_or_plain(bracket), "s")
-    counts = cut(
-        j.groupBy("s").agg(*[
-            c for p in names
-            for c in (F.count(p).alias(f"n_{p}"), F.count_if(F.col(p) < F.col(f"lo_{p}")).alias(f"below_{p}"), F.count_if(F.col(p).between(F.col(f"lo_{p}"), F.col(f"hi_{p}"))).alias(f"in_{p}"))
-        ]).join(bracket, "s")
-    )
+    c = F.col
+    v = df.select(c(source).alias("s"), *[x.cast("double").alias(p) for p, x in parts.items()])
+    sketches = v.groupBy("s").agg(F.count("*").alias("n_rows"), *[F.kll_sketch_agg_double(p, SKETCH_K).alias(p) for p in names])
+
+    def quantile(p: str, q: float) -> Column:
+        return F.when(F.kll_sketch_get_n_double(p) > 0, F.kll_sketch_get_quantile_double(p, F.lit(q)))
+
+    bounds = [x for p in names for x in (quantile(p, 0.5 - BRACKET).alias(f"lo_{p}"), quantile(p, 0.5 + BRACKET).alias(f"hi_{p}"))]
+    bracket = cut(sketches.select("s", "n_rows", *bounds))
+    found = [
+        x for p in names
+        for x in (F.count(p).alias(f"n_{p}"), F.count_if(c(p) < c(f"lo_{p}")).alias(f"below_{p}"), F.count_if(c(p).between(c(f"lo_{p}"), c(f"hi_{p}"))).alias(f"in_{p}"))
+    ]
+    counts = cut(join_per_key(v, bracket, "s", "n_rows").groupBy("s").agg(*found).join(bracket, "s"))
+
     # where a sketch missed (its error has a bound in probability only), the bracket opens to all values
-    fine = lambda p: (F.col(f"below_{p}") <= F.floor((F.col(f"n_{p}") - 1) / 2)) & (F.col(f"below_{p}") + F.col(f"in_{p}") > F.floor(F.col(f"n_{p}") / 2))
-    ranges = counts.select("s", *[
-        c for p in names
-        for c in (F.col(f"n_{p}"), F.when(fine(p), F.col(f"lo_{p}")).otherwise(-_INF).alias(f"lo_{p}"), F.when(fine(p), F.col(f"hi_{p}")).otherwise(_INF).alias(f"hi_{p}"), F.when(fine(p), F.col(f"below_{p}")).otherwise(0).alias(f"below_{p}"))
-    ])
-    inside = (
-        v.join(small_or_plain(cut(ranges)), "s")
-        .select("s", F.explode(F.array_compact(F.array(*[F.when(has(p) & F.col(p).between(F.col(f"lo_{p}"), F.col(f"hi_{p}")), F.struct(F.lit(p).alias("p"), F.col(p).alias("x"), F.col(f"below_{p}").alias("below"), F.col(f"n_{p}").alias("n"))) for p in names]))).alias("r"))
-        .select("s", "r.*")
-        .groupBy("s", "p", "x", "below", "n").agg(F.count("*").alias("c"))
-    )
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy("s", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # ranks from 0
-    holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
-    mid = (
-        inside.withColumn("upto", upto)
-        .where(holds(lower) | holds(upper))
-        .groupBy("s", "p").agg(((F.min("x") + F.max("x")) / 2).alias("m"))
-        .groupBy("s").agg(*[F.max(F.when(F.col("p") == p, F.col("m"))).alias(f"med_{p}") for p in names])
-    )
-    return cut(counts.select("s", *[f"n_{p}" for p in names]).join(mid, "s", "left")).withColumnRenamed("s", source)
+    def fine(p: str) -> Column:
+        return (c(f"below_{p}") <= F.floor((c(f"n_{p}") - 1) / 2)) & (c(f"below_{p}") + c(f"in_{p}") > F.floor(c(f"n_{p}") / 2))
+
+    def opened(p: str) -> list[Column]:
+        return [
+            c(f"n_{p}"), F.when(fine(p), c(f"lo_{p}")).otherwise(-_INF).alias(f"lo_{p}"), F.when(fine(p), c(f"hi_{p}")).otherwise(_INF).alias(f"hi_{p}"),
+            F.when(fine(p), c(f"below_{p}")).otherwise(0).alias(f"below_{p}"),
+        ]
+
+    def candidate(p: str) -> Column:
+        value = F.struct(F.lit(p).alias("p"), c(p).alias("x"), c(f"below_{p}").alias("below"), c(f"n_{p}").alias("n"))
+        return F.when(c(p).isNotNull() & c(p).between(c(f"lo_{p}"), c(f"hi_{p}")), value)
+
+    ranges = cut(counts.select("s", "n_rows", *[x for p in names for x in opened(p)]))
+    inside = join_per_key(v, ranges, "s", "n_rows").select("s", F.explode(F.array_compact(F.array(*map(candidate, names)))).alias("r")).select("s", "r.*")
+    inside = inside.groupBy("s", "p", "x", "below", "n").agg(F.count("*").alias("c"))
+    upto = c("below") + F.sum("c").over(Window.partitionBy("s", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lower, upper = F.floor((c("n") - 1) / 2), F.floor(c("n") / 2)  # ranks from 0
+    holds = lambda k: (c("upto") > k) & (c("upto") - c("c") <= k)
+    mid = inside.withColumn("upto", upto).where(holds(lower) | holds(upper)).groupBy("s", "p").agg(((F.min("x") + F.max("x")) / 2).alias("m"))
+    mid = mid.groupBy("s").agg(*[F.max(F.when(c("p") == p, c("m"))).alias(f"med_{p}") for p in names])
+    return cut(counts.select("s", "n_rows", *[f"n_{p}" for p in names]).join(mid, "s", "left")).withColumnRenamed("s", source)
+
+
+def context_fences(df: DataFrame, source: str, hour: str, values: list[str], reach: float = REACH, min_values: int = HOUR_VALUES) -> DataFrame:
+    """source, hour, n_rows, low_<value>, high_<value>, flat_<value>: the fences [q1 - reach x iqr, q3 + reach x iqr] of each source in each hour, and whether the
+    values never vary there; checkpointed. ``hour`` must not be null.
+
+    The quartiles come from sketches merged across partitions (rank error below one percent, none up to SKETCH_K values). An hour with fewer than ``min_values``
+    values is judged by the merged sketch of all the source's hours, and has null fences if that holds too few as well.
+    """
+    sketches = [F.kll_sketch_agg_double(F.col(x).cast("double"), SKETCH_K).alias(x) for x in values]
+    hours = cut(df.groupBy(F.col(source).alias("s"), F.col(hour).alias("h")).agg(F.count("*").alias("n_rows"), *sketches))
+
+    def facts(x: str, tag: str) -> list[Column]:
+        n = F.kll_sketch_get_n_double(x)
+        at = lambda r: F.when(n >= min_values, F.kll_sketch_get_quantile_double(x, F.lit(r)))
+        return [at(r).alias(f"{name}_{tag}_{x}") for name, r in (("min", 0.0), ("q1", 0.25), ("q3", 0.75), ("max", 1.0))]
+
+    whole = hours.groupBy("s").agg(*[F.kll_merge_agg_double(x).alias(x) for x in values]).select("s", *[f for x in values for f in facts(x, "a")])
+    both = hours.select("s", "h", "n_rows", *[f for x in values for f in facts(x, "h")]).join(whole, "s")
+    out = []
+    for x in values:
+        lo, q1, q3, hi = (F.coalesce(F.col(f"{name}_h_{x}"), F.col(f"{name}_a_{x}")) for name in ("min", "q1", "q3", "max"))
+        out += [(q1 - reach * (q3 - q1)).alias(f"low_{x}"), (q3 + reach * (q3 - q1)).alias(f"high_{x}"), (lo == hi).alias(f"flat_{x}")]
+    return cut(both.select(F.col("s").alias(source), F.col("h").alias(hour), "n_rows", *out))
+
+
+def with_rates(df: DataFrame, source: str, time: str, order_id: str, parts: list[str]) -> DataFrame:
+    """Adds rate_<part>: the change per hour since the source's reading before, in the order (time, order_id); ``time`` is in microseconds.
+
+    Null for a source's first reading, for one without source or time, and where either value is unknown or no time has passed.
+    """
+    known = df.where(F.col(time).isNotNull())
+    placed = cut(known.repartitionByRange(source, time, order_id).withColumn("_part", F.spark_partition_id()))
+    here = F.struct(F.col(source).alias("s"), F.col(time).alias("t"), *[F.col(p).cast("double").alias(p) for p in parts])
+    ends = placed.groupBy("_part").agg(F.max_by(here, F.struct(source, time, order_id)).alias("_last"))
+    before = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_border"))  # one row per partition
+    j = placed.withColumn("_before", F.lag(here).over(Window.partitionBy("_part", source).orderBy(time, order_id))).join(F.broadcast(before), "_part")
+    j = j.withColumn("_before", F.coalesce("_before", F.when(F.col("_border.s") == F.col(source), F.col("_border"))))
+    hours = (F.col(time) - F.col("_before.t")) / 3.6e9
+    rates = [F.when((hours > 0) & F.col(source).isNotNull(), (F.col(p).cast("double") - F.col(f"_before.{p}")) / hours).alias(f"rate_{p}") for p in parts]
+    return j.select(*df.columns, *rates).unionByName(df.where(F.col(time).isNull()), allowMissingColumns=True)
 
 
 def stuck_runs(df: DataFrame, source: str, time: str, order_id: str, marks: list[str], at_least: int = 5, partitions: int | None = None) -> DataFrame:
@@ -79,7 +129,8 @@ def stuck_runs(df: DataFrame, source: str, time: str, order_id: str, marks: list
     Rows with a null mark are passed over; order is (time, order_id). Every column of ``marks`` must be a bigint (a hash of the value will do).
     """
     need = at_least - 1
-    d = df.select(F.col(source).alias("s"), F.col(time).cast("bigint").alias("t"), F.col(order_id).cast("bigint").alias("i"), *[F.col(m).cast("bigint").alias(f"m{k}") for k, m in enumerate(marks)])
+    series = [F.col(m).cast("bigint").alias(f"m{k}") for k, m in enumerate(marks)]
+    d = df.select(F.col(source).alias("s"), F.col(time).cast("bigint").alias("t"), F.col(order_id).cast("bigint").alias("i"), *series)
     d = d.where(" or ".join(f"m{k} is not null" for k in range(len(marks))))
     spread = d.repartitionByRange(*([partitions] if partitions else []), "s", "t", "i")
     ordered = spread.withColumn("part", F.spark_partition_id()).withColumn("h", F.xxhash64("s")).sortWithinPartitions("s", "t", "i").select("part", "h", "i", *[f"m{k}" for k in range(len(marks))])
@@ -141,56 +192,85 @@ def stuck_runs(df: DataFrame, source: str, time: str, order_id: str, marks: list
     return hits.select(F.col("i").alias(order_id), F.element_at(F.array(*map(F.lit, marks)), F.col("mark") + 1).alias("mark"))
 
 
-def implausible(df: DataFrame, source: str, time: str, order_id: str, measures: list[Measure], min_values: int = 20, stuck_at: int = 5) -> DataFrame:
-    """order_id, field_name, kind: readings that are ``impossible``, else a ``spike`` against the source's exact median (for parts with at
-    least ``min_values`` readings), else ``stuck``: one of ``stuck_at`` or more equal readings in a row among the source's remaining ones.
+def implausible(
+    df: DataFrame, source: str, time: str, order_id: str, measures: list[Measure], min_values: int = 20, stuck_at: int = 5, hour: str | None = None, reach: float = REACH,
+    hour_values: int = HOUR_VALUES,
+) -> DataFrame:
+    """order_id, field_name, kind: readings with the first of these kinds that their measure asks for and that holds.
 
-    ``df`` holds each reading once, ``time`` as a bigint. Readings without source are left out, those without time never count as stuck, and a measure with
-    an unknown part has no reading. Ties in time are ordered by order_id. Columns beyond those used are ignored.
-    """
+    - ``impossible``: the measure's condition.
+    - ``spike``: against the source's exact median, for parts with at least ``min_values`` readings.
+    - ``outside``: a part is outside the fences of its source in its hour of the day (see ``context_fences``; ``hour`` is the column, null being an hour of its own).
+    - ``jump``: a part's change per hour since the source's reading before is outside the fences of such rates.
+    - ``constant``: a part never varies in its source and hour, although there are at least ``hour_values`` readings.
+    - ``stuck``: one of ``stuck_at`` or more equal readings in a row among the source's remaining ones.
+
+    ``df`` holds each reading once, ``time`` as a bigint of microseconds. Readings without source are left out, those without time have no rate and never
+    count as stuck, and a measure with an unknown part has no reading. Ties in time are ordered by order_id. Columns beyond those used are ignored; an
+    empty input gives no rows.
+    """
     used = [source, time, order_id, *dict.fromkeys(p for m in measures for p in m.parts if p not in (source, time, order_id))]
+    hours = [F.coalesce(F.col(hour).cast("int"), F.lit(-1)).alias("_hour")] if hour else []
     # the sketches, the rank counts, the ranking and the judging each pass over the readings: what made them unique is done once
-    df = cut(df.where(F.col(source).isNotNull()).select(*used))
+    df = cut(df.where(F.col(source).isNotNull()).select(*used, *hours))
     known = {m.name: F.lit(True) for m in measures}
     for m in measures:
         for p in m.parts:
             known[m.name] = known[m.name] & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
-    parts = {p: F.when(known[m.name], F.col(p)) for m in measures for p in m.parts}
-    med = exact_medians(df, source, parts)
-    j = df.join(small_or_plain(med), source)
+    values = {p: F.when(known[m.name], F.col(p)) for m in measures for p in m.parts}
+    j = df
+    fenced = [p for m in measures if m.fence for p in m.parts]
+    rated = [p for m in measures if m.rate for p in m.parts]
+    if fenced or rated:
+        if not hour:
+            raise ValueError("fences need the column of the hour")
+        judged = df.select(source, time, order_id, "_hour", *[values[p].cast("double").alias(p) for p in dict.fromkeys([*fenced, *rated])])
+        if rated:
+            judged = cut(with_rates(judged, source, time, order_id, rated))
+            rates = judged.select(F.col(source).alias("_s"), F.col(time).alias("_t"), F.col(order_id).alias("_i"), *[f"rate_{p}" for p in rated])
+            same = (F.col(source) == F.col("_s")) & F.col(order_id).eqNullSafe(F.col("_i")) & F.col(time).eqNullSafe(F.col("_t"))
+            j = j.join(rates, same, "left").drop("_s", "_t", "_i")
+        fences = context_fences(judged, source, "_hour", [*fenced, *(f"rate_{p}" for p in rated)], reach, hour_values)
+        j = join_per_key(j, fences.withColumnRenamed("n_rows", "_n"), [source, "_hour"], "_n")
+    if any(m.spike for m in measures):
+        j = join_per_key(j, exact_medians(df, source, {p: v for p, v in values.items() if any(m.spike and p in m.parts for m in measures)}), source, "n_rows")
+
+    def beyond(x: str) -> Column:
+        return F.coalesce((F.col(x) < F.col(f"low_{x}")) | (F.col(x) > F.col(f"high_{x}")), F.lit(False))
+
+    def any_of(conditions: list[Column]) -> Column:
+        out = F.lit(False)
+        for x in conditions:
+            out = out | x
+        return out
+
     kinds = []
     for m in measures:
-        usual = [(F.col(p), F.when(F.col(f"n_{p}") >= min_values, F.col(f"med_{p}"))) for p in m.parts]
-        kinds.append(F.when(~known[m.name], None).when(F.expr(m.impossible), "impossible").when(F.coalesce(m.spike(usual), F.lit(False)), "spike").otherwise("").alias(f"_k_{m.name}"))
-    judged = j.select(source, time, order_id, *[F.xxhash64(*[F.col(p) for p in m.parts]).alias(f"_h_{m.name}") for m in measures], *kinds)
-    far = judged.select(
-        order_id, F.explode(F.array_compact(F.array(*[F.when(F.col(f"_k_{m.name}") != "", F.struct(F.lit(m.name).alias("field_name"), F.col(f"_k_{m.name}").alias("kind"))) for m in measures]))).alias("r")
-    ).select(order_id, "r.*")
-    rest = judged.where(F.col(time).isNotNull()).select(source, time, order_id, *[F.when(F.col(f"_k_{m.name}") == "", F.col(f"_h_{m.name}")).alias(m.name) for m in measures])
+        kind = F.when(~known[m.name], None).when(F.expr(m.impossible), "impossible")
+        if m.spike:
+            usual = [(F.col(p), F.when(F.col(f"n_{p}") >= min_values, F.col(f"med_{p}"))) for p in m.parts]
+            kind = kind.when(F.coalesce(m.spike(usual), F.lit(False)), "spike")
+        if m.fence:
+            kind = kind.when(any_of([beyond(p) for p in m.parts]), "outside")
+        if m.rate:
+            kind = kind.when(any_of([beyond(f"rate_{p}") for p in m.parts]), "jump")
+        if m.fence:
+            kind = kind.when(any_of([F.coalesce(f"flat_{p}", F.lit(False)) for p in m.parts]), "constant")
+        kinds.append(kind.otherwise("").alias(f"_k_{m.name}"))
+    judged = j.select(source, time, order_id, *[F.xxhash64(*m.parts).alias(f"_h_{m.name}") for m in measures], *kinds)
+    far = F.array(*[F.when(F.col(f"_k_{m.name}") != "", F.struct(F.lit(m.name).alias("field_name"), F.col(f"_k_{m.name}").alias("kind"))) for m in measures])
+    out = judged.select(order_id, F.explode(F.array_compact(far)).alias("r")).select(order_id, "r.*")
+    marks = [F.when(F.col(f"_k_{m.name}") == "", F.col(f"_h_{m.name}")).alias(m.name) for m in measures]
+    rest = judged.where(F.col(time).isNotNull()).select(source, time, order_id, *marks)
     stuck = stuck_runs(rest, source, time, order_id, [m.name for m in measures], stuck_at)
-    return far.unionByName(stuck.select(order_id, F.col("mark").alias("field_name"), F.lit("stuck").alias("kind")))
+    return out.unionByName(stuck.select(order_id, F.col("mark").alias("field_name"), F.lit("stuck").alias("kind")))
 
 
-def hourly_fences(df: DataFrame, source: str, hour: str, order_id: str, value: str, reach: float = 3.0, min_values: int = 8) -> DataFrame:
-    """order_id, low, high, kind: readings outside [q1 - reach x iqr, q3 + reach x iqr] of their source in their hour of the day (``outside``), or
-    whose source and hour never vary although they hold at least ``min_values`` readings (``constant``).
-
-    Quartiles come from sketches merged across partitions (rank error below one percent); a source with fewer than ``min_values`` readings in
-    an hour is judged by the merged sketch of all its hours, and not at all if that has too few as well. Null sources or values are left out.
-    """
-    d = df.select(F.col(source).alias("s"), F.col(hour).alias("hr"), F.col(order_id).alias("i"), F.col(value).cast("double").alias("x")).where("s is not null and x is not null and not isnan(x)")
-    by_hour = d.groupBy("s", "hr").agg(F.kll_sketch_agg_double("x", SKETCH_K).alias("sk"))
-    q = lambda c, r: F.kll_sketch_get_quantile_double(c, F.lit(r))
-    fence = lambda df, tag: df.select("s", *(["hr"] if tag == "h" else []), F.kll_sketch_get_n_double("sk").alias(f"n_{tag}"), q("sk", 0.0).alias(f"min_{tag}"), q("sk", 1.0).alias(f"max_{tag}"), q("sk", 0.25).alias(f"q1_{tag}"), q("sk", 0.75).alias(f"q3_{tag}"))
-    hours = cut(by_hour)
-    h = small_or_plain(cut(fence(hours, "h")))
-    a = small_or_plain(cut(fence(hours.groupBy("s").agg(F.kll_merge_agg_double("sk").alias("sk")), "a")))
-    j = d.join(h, (d.s == h.s) & d.hr.eqNullSafe(h.hr)).drop(h.s).drop(h.hr).join(a, "s")
-    pick = lambda c: F.when(F.col("n_h") >= min_values, F.col(f"{c}_h")).when(F.col("n_a") >= min_values, F.col(f"{c}_a"))
-    q1, q3 = pick("q1"), pick("q3")
-    return (
-        j.select("i", "x", (q1 - reach * (q3 - q1)).alias("low"), (q3 + reach * (q3 - q1)).alias("high"), (pick("min") == pick("max")).alias("flat"))
-        .withColumn("kind", F.when(F.col("flat"), "constant").when((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), "outside"))
-        .where("kind is not null")
-        .select(F.col("i").alias(order_id), "low", "high", "kind")
-    )
+def hourly_fences(df: DataFrame, source: str, hour: str, order_id: str, value: str, reach: float = REACH, min_values: int = HOUR_VALUES) -> DataFrame:
+    """order_id, low, high, kind: readings outside the fences of their source in their hour of the day (``outside``), or whose source and hour never vary
+    (``constant``), by ``context_fences``. Null sources or values are left out; a null hour is an hour of its own."""
+    d = df.select(F.col(source).alias("s"), F.coalesce(F.col(hour).cast("int"), F.lit(-1)).alias("h"), F.col(order_id).alias("i"), F.col(value).cast("double").alias("x"))
+    d = d.where("s is not null and x is not null and not isnan(x)")
+    j = join_per_key(d, context_fences(d, "s", "h", ["x"], reach, min_values), ["s", "h"], "n_rows")
+    kind = F.when(F.col("flat_x"), "constant").when((F.col("x") < F.col("low_x")) | (F.col("x") > F.col("high_x")), "outside")
+    return j.select(F.col("i").alias(order_id), F.col("low_x").alias("low"), F.col("high_x").alias("high"), kind.alias("kind")).where("kind is not null")

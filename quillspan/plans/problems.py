@@ -78,6 +78,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return implausible(trip_readings(spark, sf), "license", "pickup_us", "trip_id", TRIP_MEASURES).select("trip_id", "field_name", "kind")
 
 
+#: The same readings judged by the hour's fences and by their rates of change.
+HOURLY_MEASURES = [Measure("duration", ("duration_us",), "duration_us < 0", fence=True), Measure("pickup_loc", ("lon", "lat"), "abs(lon) > 180 or abs(lat) > 90", fence=True, rate=True)]
+
+
+def p6_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Impossible, outside the hour's fences, jumping, constant or stuck readings of each license."""
+    return implausible(trip_readings(spark, sf), "license", "pickup_us", "trip_id", HOURLY_MEASURES, hour="hour").select("trip_id", "field_name", "kind")
+
+
 def p6_hourly_fences(spark: SparkSession, sf: str) -> DataFrame:
     """Trips whose duration, pickup longitude or pickup latitude (field_name) is outside their license's fences for the hour, by sketches alone."""
     t = cut(trip_readings(spark, sf))
@@ -94,7 +103,7 @@ def p7_values(spark: SparkSession, sf: str) -> DataFrame:
     return split_values(table(spark, sf, "movies"), "movie_id", ["director", "cast_names", "genre"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_sessions, p4_found, p4_trips, p4_movies, p6_found, p6_hourly_fences, p7_found, p7_values)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_sessions, p4_found, p4_trips, p4_movies, p6_found, p6_faults, p6_hourly_fences, p7_found, p7_values)}
 
 _SESSION_SQL = f"""
 WITH t AS (SELECT DISTINCT license, pickup_time, dropoff_time, trip_id FROM trips WHERE license IS NOT NULL AND pickup_time IS NOT NULL),
@@ -134,6 +143,47 @@ UNION ALL
 SELECT trip_id, loc_end, 'stand', stand_id FROM q JOIN stands ON 2 * 6371000.0 * asin(sqrt(least(1, pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))) <= {WALK_M}
 """
 
+# separators that occur in these fields; brackets within brackets two deep
+_VALUES_SQL = r"""
+WITH m AS (SELECT DISTINCT movie_id, director, cast_names, genre FROM movies),
+v AS (SELECT movie_id, field_name, trim(v, E' \t\n\r ') AS v FROM (UNPIVOT m ON director, cast_names, genre INTO NAME field_name VALUE v)),
+k AS (SELECT movie_id, field_name, list_transform(regexp_extract_all(v, '"(?:[^"]|"")*"|\((?:[^()]|\([^()]*\))*\)|[,;:/|·•\n\r]|["()]|[^,;:/|·•\n\r"()]+'), lambda x: CASE
+  WHEN regexp_full_match(x, '[,;:/|·•\n\r]') THEN chr(1) || x || chr(2)
+  WHEN regexp_matches(x, '^["(].') THEN x
+  ELSE regexp_replace(regexp_replace(x, '(\s)(and|&|\+|und|et|y)(\s)', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), '(\s)(and|&|\+|und|et|y)(\s)', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') END) AS t FROM v),
+j AS (SELECT movie_id, field_name, array_to_string(t, '') AS s FROM k),
+g AS (SELECT movie_id, field_name, regexp_replace(regexp_replace(s, '([^\x01\x02\s]\s*)\x01([^\w&+])\x02(\s*(?:Jr\.?|Sr\.?|II|III|IV)\s*(?:$|\x01|\())', '\1\2\3', 'g'),
+  '([^\x01\x02\s]\s*)\x01([^\w&+])\x02(\s*\((?:[^()]|\([^()]*\))*\))', '\1\2\3', 'g') AS s FROM j),
+i AS (SELECT movie_id, field_name, list_filter(list_transform(regexp_split_to_array(s, '\x01[^\x02]*\x02'), lambda x: CASE
+  WHEN regexp_full_match(trim(x, E' \t '), '"(?:[^"]|"")*"') THEN trim(replace(trim(x, E' \t ')[2:-2], '""', '"'), E' \t ') ELSE trim(x, E' \t ') END), lambda x: x <> '') AS a FROM g),
+u AS (SELECT movie_id, field_name, len(a) AS n, unnest(a) AS item, CAST(unnest(range(1, len(a) + 1)) AS BIGINT) AS pos FROM i)
+"""
+
+_HOURLY_SQL = """
+WITH t AS (SELECT DISTINCT trip_id, license, epoch_us(pickup_time) AS t, hour(pickup_time) AS hr, CAST(epoch_us(dropoff_time) - epoch_us(pickup_time) AS DOUBLE) AS duration,
+           CASE WHEN pickup_lat IS NOT NULL THEN pickup_lon END AS lon, CASE WHEN pickup_lon IS NOT NULL THEN pickup_lat END AS lat FROM trips WHERE license IS NOT NULL),
+o AS (SELECT *, (t - lag(t) OVER w) / 3.6e9 AS dt, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM t WHERE t IS NOT NULL WINDOW w AS (PARTITION BY license ORDER BY t, trip_id)),
+r AS (SELECT trip_id, CASE WHEN dt > 0 THEN (lon - lon0) / dt END AS rate_lon, CASE WHEN dt > 0 THEN (lat - lat0) / dt END AS rate_lat FROM o),
+x AS (SELECT t.*, rate_lon, rate_lat FROM t LEFT JOIN r USING (trip_id)),
+l AS (SELECT trip_id, license, hr, name, v FROM x UNPIVOT (v FOR name IN (duration, lon, lat, rate_lon, rate_lat))),
+h AS (SELECT license, hr, name, min(v) AS a, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, max(v) AS b FROM l GROUP BY ALL HAVING count(*) >= 8),
+s AS (SELECT license, name, min(v) AS a, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, max(v) AS b FROM l GROUP BY ALL HAVING count(*) >= 8),
+f AS (SELECT l.*, coalesce(h.a, s.a) AS a, coalesce(h.q1, s.q1) AS q1, coalesce(h.q3, s.q3) AS q3, coalesce(h.b, s.b) AS b FROM l LEFT JOIN h ON l.license = h.license AND l.name = h.name
+      AND l.hr IS NOT DISTINCT FROM h.hr LEFT JOIN s ON l.license = s.license AND l.name = s.name),
+g AS (SELECT trip_id, license, name, v, q1 - 3.0 * (q3 - q1) AS low, q3 + 3.0 * (q3 - q1) AS high, a = b AS flat FROM f)
+"""
+_KINDS_SQL = _HOURLY_SQL + """, m AS (SELECT trip_id, bool_or(name = 'duration' AND (v < low OR v > high)) AS dur_out, bool_or(name IN ('lon', 'lat') AND (v < low OR v > high)) AS loc_out,
+bool_or(name LIKE 'rate%' AND (v < low OR v > high)) AS jump, bool_or(name = 'duration' AND flat) AS dur_flat, bool_or(name IN ('lon', 'lat') AND flat) AS loc_flat FROM g GROUP BY trip_id),
+k AS (SELECT x.*, CASE WHEN duration IS NULL THEN NULL WHEN duration < 0 THEN 'impossible' WHEN dur_out THEN 'outside' WHEN dur_flat THEN 'constant' ELSE '' END AS kd,
+      CASE WHEN lon IS NULL THEN NULL WHEN abs(lon) > 180 OR abs(lat) > 90 THEN 'impossible' WHEN loc_out THEN 'outside' WHEN jump THEN 'jump' WHEN loc_flat THEN 'constant' ELSE '' END AS kl
+      FROM x LEFT JOIN m USING (trip_id)),
+e AS (SELECT trip_id, license, t, 'duration' AS field_name, duration AS a, 0::DOUBLE AS b FROM k WHERE kd = '' AND t IS NOT NULL UNION ALL SELECT trip_id, license, t, 'pickup_loc', lon, lat FROM k WHERE kl = '' AND t IS NOT NULL),
+c AS (SELECT *, CASE WHEN a = lag(a) OVER w AND b = lag(b) OVER w THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY field_name, license ORDER BY t, trip_id)),
+i AS (SELECT *, sum(n) OVER (PARTITION BY field_name, license ORDER BY t, trip_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+q AS (SELECT *, count(*) OVER (PARTITION BY field_name, license, run) AS len FROM i)
+SELECT trip_id, 'duration' AS field_name, kd AS kind FROM k WHERE kd <> '' UNION ALL SELECT trip_id, 'pickup_loc', kl FROM k WHERE kl <> '' UNION ALL SELECT trip_id, field_name, 'stuck' FROM q WHERE len >= 5
+"""
+
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
 _TIME = r"(regexp_full_match({0}, '\d{{4}}-\d\d-\d\d \d\d:\d\d:[0-5]\d') AND try_strptime({0}, '%Y-%m-%d %H:%M:%S') IS NOT NULL)"
 _NUM = r"(regexp_full_match({0}, '[+-]?(\d+(\.\d*)?|\.\d+)') AND abs(try_cast({0} AS DOUBLE)) <= {1})"
@@ -155,4 +205,10 @@ SQL = {
     "p3_sessions": _SESSION_SQL + 'SELECT license, session, first_trip_id, last_trip_id, start, "end", (epoch_us("end") - epoch_us(start)) / 1e6 AS duration_s, n_trips FROM r',
     "p4_found": _REJECT_SQL,
     "p6_found": _FAULTS_SQL,
+    # quartiles are exact up to SKETCH_K readings of a license and hour, which the correctness tables don't exceed
+    "p6_faults": _KINDS_SQL,
+    "p6_hourly_fences": _HOURLY_SQL + "SELECT trip_id, CASE WHEN name = 'duration' THEN name ELSE 'pickup_' || name END AS field_name, low, high, CASE WHEN flat THEN 'constant' ELSE 'outside' END AS kind "
+    "FROM g WHERE name NOT LIKE 'rate%' AND (flat OR v < low OR v > high)",
+    "p7_values": _VALUES_SQL + "SELECT movie_id, field_name, pos, item FROM u",
+    "p7_found": _VALUES_SQL + "SELECT movie_id, field_name, pos, item FROM u WHERE n >= 2",
 }

@@ -67,17 +67,18 @@ def small_or_plain(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if bytes_of(df) <= max_bytes else df
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, max_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of ``rows`` with one row per key, whose column ``count`` holds the key's number of rows (cheap to read, e.g. a checkpoint).
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, max_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with one row per key (of one or several columns), whose column ``count`` holds the key's number of rows (cheap to read, e.g. a checkpoint).
 
     Proven small, ``per_key`` is broadcast. Otherwise only its hot keys are (at most one per ``hot_rows`` rows, and their size is checked too), so that
     no task of the shuffled join for the rest meets more than ``hot_rows`` rows of a key.
     """
     if bytes_of(per_key) <= max_bytes:
         return rows.join(F.broadcast(per_key), key)
+    keys = [key] if isinstance(key, str) else key
     hot = small_or_plain(per_key.where(F.col(count) > hot_rows), max_bytes)
-    cold = rows.join(small_or_plain(per_key.where(F.col(count) > hot_rows).select(key), max_bytes), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(per_key.where(F.col(count) <= hot_rows), key))
+    cold = rows.join(small_or_plain(per_key.where(F.col(count) > hot_rows).select(*keys), max_bytes), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(per_key.where(F.col(count) <= hot_rows), keys))
 
 
 def micros(col) -> F.Column:

@@ -11,9 +11,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from quillspan.operators.faults import Measure, exact_medians, hourly_fences, implausible, stuck_runs
+from quillspan.operators.faults import Measure, context_fences, exact_medians, hourly_fences, implausible, stuck_runs, with_rates
 from quillspan.operators.geometry import Bvh, ear_clip, geojson_triangles
-from quillspan.operators.multivalue import resolve_skeleton, split_values
+from quillspan.operators.multivalue import SPLITTING, items_of, split_values, tokens
 from quillspan.operators.rejects import MOVIES, TRIPS, read_with_rejects
 from quillspan.operators.sessions import gap_sessions
 from quillspan.operators.spatial import EARTH_M, match_points, point_targets, region_faults, region_triangles
@@ -306,6 +306,80 @@ def test_faults_on_empty_input_and_few_values(spark):
     assert hourly_fences(df.withColumn("h", df.t), "s", "h", "i", "x").count() == 0
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_rates_of_change_against_brute_force(spark, parts):
+    rng = random.Random(int(parts))
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, *range(0, 10**12, 10**10)]), n, rng.choice([None, rng.random(), 5.0])) for n in range(300)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.i: r.rate_x for r in with_rates(spark.createDataFrame(rows, "s string, t bigint, i bigint, x double"), "s", "t", "i", ["x"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(got) == 300
+    for source in ("hot", "b", None):
+        mine = sorted((r for r in rows if r[0] == source and r[1] is not None), key=lambda r: (r[1], r[2]))
+        for a, b in zip([None, *mine], mine):
+            known = source is not None and a is not None and b[1] > a[1] and None not in (a[3], b[3])
+            assert (got[b[2]] is not None) == known
+            assert not known or math.isclose(got[b[2]], (b[3] - a[3]) / ((b[1] - a[1]) / 3.6e9))
+    assert all(got[r[2]] is None for r in rows if r[1] is None)
+
+
+def test_kinds_by_hour_and_rate_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in range(600):
+        source = rng.choice(["hot", "hot", "a", "b", "flat", None])
+        x = 4.0 if source == "flat" else rng.choice([None, rng.gauss(10, 1), rng.gauss(10, 1), rng.gauss(10, 1), 60.0 if rng.random() < 0.1 else 10.5])
+        rows.append((source, rng.choice([None, n * 3_600_000_000]), n, rng.choice([None, 3, 3, 4]), x))
+    df = spark.createDataFrame(rows, "s string, t bigint, i bigint, h int, x double").repartition(6)
+    got = {(r.i, r.kind) for r in implausible(df, "s", "t", "i", [Measure("v", ("x",), "x > 55", fence=True, rate=True)], hour="h", stuck_at=10**6).collect()}
+
+    def fences(values):
+        if len(values) < 8:
+            return None
+        v = sorted(values)
+        q1, q3 = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.75))
+        return q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1), v[0] == v[-1]
+
+    rate, last = {}, {}
+    for s, t, i, _, x in sorted((r for r in rows if r[0] and r[1] is not None), key=lambda r: (r[1], r[2])):
+        if s in last and None not in (x, last[s][1]):
+            rate[i] = (x - last[s][1]) / ((t - last[s][0]) / 3.6e9)
+        last[s] = (t, x)
+    of = lambda pick, s, h=...: [v for r in rows if r[0] == s and (h is ... or r[3] == h) and (v := pick(r)) is not None]
+    want = set()
+    for r in rows:
+        s, _, i, h, x = r
+        if s is None or x is None:
+            continue
+        value, change = (lambda q: q[4]), (lambda q: rate.get(q[2]))
+        f, g = (fences(of(p, s, h)) or fences(of(p, s)) for p in (value, change))
+        if x > 55:
+            want.add((i, "impossible"))
+        elif f and not f[0] <= x <= f[1]:
+            want.add((i, "outside"))
+        elif g and i in rate and not g[0] <= rate[i] <= g[1]:
+            want.add((i, "jump"))
+        elif f and f[2]:
+            want.add((i, "constant"))
+    assert got == want and {k for _, k in want} == {"impossible", "outside", "jump", "constant"}
+    assert implausible(df.where("false"), "s", "t", "i", [Measure("v", ("x",), fence=True, rate=True)], hour="h").count() == 0
+
+
+def test_hot_sources_are_joined_apart_beyond_the_broadcast_bound(spark):
+    from quillspan.runtime import bytes_of, join_per_key
+
+    rows = spark.createDataFrame([("hot", n) for n in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    per = spark.createDataFrame([("hot", 50, "h"), ("a", 1, "x"), ("c", 1, "y")], "k string, n int, w string")
+    want = sorted([("hot", n, 50, "h") for n in range(50)] + [("a", 1, 1, "x")])
+    for how in ({}, {"max_bytes": 0, "hot_rows": 10}, {"max_bytes": 0, "hot_rows": 1000}):
+        assert sorted(tuple(r) for r in join_per_key(rows, per, "k", "n", **how).collect()) == want
+    assert bytes_of(per.where("false")) == 0 < bytes_of(per)
+    assert context_fences(rows.withColumn("h", rows.v % 2), "k", "h", ["v"]).where("k = 'hot'").count() == 2
+
+
 def test_hourly_fences(spark):
     rows = [("a", 5, n, 10.0 + n % 5) for n in range(50)] + [("a", 5, 100, 999.0)] + [("b", 1, 200 + n, 3.0) for n in range(9)] + [("c", 1, 300, 1.0)]
     got = {(r.i, r.kind) for r in hourly_fences(spark.createDataFrame(rows, "s string, h int, i bigint, x double"), "s", "h", "i", "x").collect()}
@@ -339,10 +413,12 @@ def test_values_packed_in_one_field(spark):
     assert {r.id for r in split_values(df, "id", ["v"], at_least=2).collect()} == {n for n, k in enumerate(keys) if len(CASES[k]) > 1} | {None}
 
 
-def test_skeleton_rules():
-    assert resolve_skeleton("xpbx") == [(1, 1, False), (4, 1, False)]
-    assert resolve_skeleton("qxpxq") == [(1, 5, True)]
-    assert resolve_skeleton("") == [] and resolve_skeleton("p") == []
+def test_skeletons_and_their_units():
+    assert tokens("A B, C and D")[1] == "xpxwx" and tokens('"a, b" (c (d), e); II')[1] == "QRps" and tokens('"  ",(x')[1] == "Epxx"
+    assert "".join(tokens("A , B (c)  / D ")[0]) == "A , B (c)  / D "
+    assert {"xpx$", "^pxp", "xwR$", "ppR$", "xpsx"} <= SPLITTING and not {"xps$", "xpRx", "Qpsp"} & SPLITTING
+    assert items_of("A, and, B") == ["A", "and", "B"] and items_of("A and and B") == ["A", "B"]
+    assert items_of("x (a (b, c) d, e), y") == ["x (a (b, c) d, e)", "y"] and items_of("(" * 20_000 + ", a") == ["(" * 20_000, "a"]
 
 
 def test_hourly_fences_of_the_location(spark, tmp_path):

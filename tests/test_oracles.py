@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, name):
     same(spark, *SQL[name])
 
 
-@pytest.mark.parametrize("name", ["p4_trips", "p4_movies", "p6_hourly_fences", "p7_found", "p7_values"])
+@pytest.mark.parametrize("name", ["p4_trips", "p4_movies"])
 def test_other_queries_run(spark, name):
     assert problems.QUERIES[name](spark, SF).count() > 0
 
