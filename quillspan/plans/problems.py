@@ -187,23 +187,36 @@ SELECT trip_id, 'duration' AS field_name, kd AS kind FROM k WHERE kd <> '' UNION
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",][^,]*|)'
 _TIME = r"(regexp_full_match({0}, '\d{{4}}-\d\d-\d\d \d\d:\d\d:[0-5]\d') AND try_strptime({0}, '%Y-%m-%d %H:%M:%S') IS NOT NULL)"
 _NUM = r"(regexp_full_match({0}, '[+-]?(\d+(\.\d*)?|\.\d+)') AND abs(try_cast({0} AS DOUBLE)) <= {1})"
-_REJECT_SQL = (
-    r"WITH t AS (SELECT line_id, coalesce(string_split(raw_line, ','), []) AS f FROM raw_trips), "
+_RAW_SQL = (
+    r"WITH t AS (SELECT line_id, raw_line, coalesce(string_split(raw_line, ','), []) AS f FROM raw_trips), "
     r"m AS (SELECT line_id, raw_line, coalesce(regexp_full_match(raw_line, '(?s)" + _FIELD + "(?:," + _FIELD + r")*'), true) AS sound, "
     r"regexp_extract_all(',' || raw_line, '(?s),(" + _FIELD + r")', 1) AS g FROM raw_movies), "
-    r"n AS (SELECT line_id, sound, coalesce(len(g), 0) AS c, [CASE WHEN x[1:1] = chr(34) THEN x[2:-2] ELSE x END FOR x IN g] AS f FROM m), "
-    "a AS (SELECT 'raw_trips' AS raw_table, line_id, CASE WHEN len(f) <> 14 THEN 'columns' WHEN NOT (trim(f[2]) <> '' AND "
+    r"n AS (SELECT line_id, raw_line, sound, coalesce(len(g), 0) AS c, [CASE WHEN x[1:1] = chr(34) THEN replace(x[2:-2], chr(34) || chr(34), chr(34)) ELSE x END FOR x IN g] AS f FROM m), "
+    "rt AS (SELECT *, CASE WHEN len(f) <> 14 THEN 'columns' WHEN NOT (trim(f[2]) <> '' AND "
     + " AND ".join([*[_TIME.format(f"f[{k}]") for k in (6, 7)], *[_NUM.format(f"f[{k}]", v) for k, v in ((11, 180), (12, 90), (13, 180), (14, 90))]])
-    + ") THEN 'value' END AS reason FROM t UNION ALL SELECT 'raw_movies', line_id, CASE WHEN NOT sound THEN 'quoting' WHEN c <> 8 THEN 'columns' "
-    r"WHEN NOT (regexp_full_match(f[1], '[0-9]{4}') AND regexp_matches(f[2], '\S') AND regexp_matches(f[8], '\S')) THEN 'value' END FROM n) "
-    "SELECT raw_table, line_id, reason FROM a WHERE reason IS NOT NULL"
+    + ") THEN 'value' END AS reason FROM t), rm AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN c <> 8 THEN 'columns' "
+    r"WHEN NOT (regexp_full_match(f[1], '[0-9]{4}') AND regexp_matches(f[2], '\S') AND regexp_matches(f[8], '\S')) THEN 'value' END AS reason FROM n) "
 )
 
+
+def _typed_sql(rows: str, columns: dict[str, str]) -> str:
+    """Reason and raw line of the rejected records, typed columns of the others."""
+    typed = ", ".join(f"CASE WHEN reason IS NULL THEN {e} END AS {n}" for n, e in columns.items())
+    return _RAW_SQL + f"SELECT line_id, reason, CASE WHEN reason IS NOT NULL THEN raw_line END AS raw_line, {typed} FROM {rows}"
+
+
+_TRIP_COLUMNS = {"license": "f[2]", **{n: f"try_strptime(f[{k}], '%Y-%m-%d %H:%M:%S')" for n, k in (("pickup_time", 6), ("dropoff_time", 7))}} | {
+    n: f"try_cast(f[{k}] AS DOUBLE)" for n, k in (("pickup_lon", 11), ("pickup_lat", 12), ("dropoff_lon", 13), ("dropoff_lat", 14))
+}
+_MOVIE_COLUMNS = {"release_year": "try_cast(f[1] AS INTEGER)", **{n: f"f[{k + 2}]" for k, n in enumerate(("title", "origin", "director", "cast_names", "genre", "wiki_page", "plot"))}}
+
 SQL = {
     "p2_found": _NEAR_SQL,
     "p3_found": _SESSION_SQL + "SELECT license, first_trip_id, last_trip_id FROM r",
     "p3_sessions": _SESSION_SQL + 'SELECT license, session, first_trip_id, last_trip_id, start, "end", (epoch_us("end") - epoch_us(start)) / 1e6 AS duration_s, n_trips FROM r',
-    "p4_found": _REJECT_SQL,
+    "p4_found": _RAW_SQL + "SELECT 'raw_trips' AS raw_table, line_id, reason FROM rt WHERE reason IS NOT NULL UNION ALL SELECT 'raw_movies', line_id, reason FROM rm WHERE reason IS NOT NULL",
+    "p4_trips": _typed_sql("rt", _TRIP_COLUMNS),
+    "p4_movies": _typed_sql("rm", _MOVIE_COLUMNS),
     "p6_found": _FAULTS_SQL,
     # quartiles are exact up to SKETCH_K readings of a license and hour, which the correctness tables don't exceed
     "p6_faults": _KINDS_SQL,

@@ -14,7 +14,7 @@ import pytest
 from quillspan.operators.faults import Measure, context_fences, exact_medians, hourly_fences, implausible, stuck_runs, with_rates
 from quillspan.operators.geometry import Bvh, ear_clip, geojson_triangles
 from quillspan.operators.multivalue import SPLITTING, items_of, split_values, tokens
-from quillspan.operators.rejects import MOVIES, TRIPS, read_with_rejects
+from quillspan.operators.rejects import FILE_BYTES, MOVIES, TRIPS, _bounded, read_with_rejects
 from quillspan.operators.sessions import gap_sessions
 from quillspan.operators.spatial import EARTH_M, match_points, point_targets, region_faults, region_triangles
 
@@ -231,6 +231,8 @@ def test_movie_records_against_brute_force(spark):
             fields[rng.randrange(8)] = "".join(rng.choice(bits) for _ in range(rng.randrange(5)))
         lines.append(",".join(fields))
     df = spark.createDataFrame([(n, x, "clash") for n, x in enumerate(lines)], "id bigint, raw string, title string").repartition(3)
+    sizes = [b.num_rows for b in _bounded(__import__("pyarrow").RecordBatch.from_arrays([[*range(5)], ["a" * (FILE_BYTES - 1), "bb", None, "c" * 2 * FILE_BYTES, "d"]], ["id", "raw"]))]
+    assert sizes == [1, 2, 1, 1]
     got = {r.id: r for r in read_with_rejects(df, "id", "raw", MOVIES).collect()}
     assert len(got) == len(lines)
     for n, x in enumerate(lines):
