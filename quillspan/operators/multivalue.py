@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 JOINERS = ("and", "&", "+", "und", "et", "y")
 SUFFIXES = (r"Jr\.?", r"Sr\.?", "II", "III", "IV")
 #: Separators: punctuation but for full stops, hyphens, apostrophes, quotes, brackets and the joining signs.
-_SEP = r"[[\p{P}|\n\r  ]--[.\-‐‑'’‘\"()&+]]"
+_SEP = r"[[\p{P}|\n\r\u2028\u2029]--[.\-\u2010\u2011'\u2019\u2018\"()&+]]"
 _SPACE = r"[ \t\n\x0b\f\r]"
 _JOIN = "(?:" + "|".join(map(regex.escape, JOINERS)) + ")"
 _WORD = rf"(?:(?!{_SEP})[[^\s\p{{Z}}\"()]])++"
-_GAP = r"[[\s\p{Z}]--[\n\r  ]]"
+_GAP = r"[[\s\p{Z}]--[\n\r\u2028\u2029]]"
 #: One token with the blanks after it; the group's name is its class, an unnamed one is ordinary (x).
 TOKEN = regex.compile(
     rf"(?:(?P<Q>\"(?:[^\"]|\"\")*+\")|(?P<p>{_SEP})|[\"()]|(?P<w>(?<={_SPACE}){_JOIN}(?={_SPACE}))|(?P<s>(?:{'|'.join(SUFFIXES)})(?=[\s\")]|\Z|{_SEP}))|{_WORD}(?:[\p{{Z}}\t]++(?!{_JOIN}{_SPACE}){_WORD})*+){_GAP}*+",
