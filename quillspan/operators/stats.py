@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, join_per_key
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """value, rank: the average rank of each distinct non-null value, without ordering the rows in one task.
+def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """Adds upto_<c> (sum of c over all rows up to this one, itself included) and all_<c> (over all rows) in the order of the column ``order``, which holds no
+    value twice. The rows are range-partitioned, summed within their partition and shifted by the totals of the partitions before: no task orders them all."""
+    by = F.desc(order) if descending else F.asc(order)
+    parts = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    before, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])  # one row per partition
+    first = totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_first_{c}") for c in sums], *[F.sum(c).over(every).alias(f"all_{c}") for c in sums])
+    upto = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = parts.join(F.broadcast(first), "_part")
+    return j.select(*df.columns, *[(F.col(f"_first_{c}") + F.sum(c).over(upto)).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
-    Equal values are counted first; the distinct ones are range-partitioned, ranked within their partition and shifted by the totals of the
-    partitions before.
-    """
+
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """value, n, rank: how often each distinct non-null value occurs and its average rank, without ordering the rows in one task."""
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    parts = cut(counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # one row per partition
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return parts.join(F.broadcast(offsets), "part").select("value", (F.col("first") + upto - (F.col("n") - 1) / 2).alias("rank"))
+    return running_totals(counted, "value", ["n"]).select("value", "n", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,31 +35,45 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """column, rho: rank correlation of each column with the label over the rows in which both are known in all columns; constant columns give null."""
+    """column, rho: rank correlation of each column with the label over the rows in which both are known in all columns; constant columns give null.
+
+    A column's ranks (one row per distinct value) are broadcast if proven small; of larger ones only those of values that a large part of the rows hold,
+    so that no shuffled task meets more than a bounded number of rows with one value.
+    """
     d = cut(df.select(label, *columns).dropna())
     for c in [label, *columns]:
-        r = average_ranks(d, c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        d = d.join(r, c)
+        ranks = average_ranks(d, c).select(F.col("value").alias(c), F.col("n").alias("_n"), F.col("rank").alias(f"_r_{c}"))
+        d = join_per_key(d, cut(ranks), c, "_n").drop("_n")
     one = d.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.corr(f"_r_{label}", f"_r_{c}").alias("rho")) for c in columns]).alias("c"))
     return one.select(F.explode("c").alias("c")).select("c.*")
 
 
+def _ratio(a, b):
+    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+
+
+def _curve(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """threshold, p, n, upto_p, upto_n, all_p, all_n: positive and negative labels at each distinct score, at or above it, and in all."""
+    at = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold"))
+    by = at.agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
+    return running_totals(by, "threshold", ["p", "n"], descending=True)
+
+
 def threshold_metrics(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, tp, fp, precision, recall, fpr: one row per distinct score, positives being the rows at or above it."""
-    by = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # distinct scores only
-    every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum(F.col("n") - F.col("p")).over(every).alias("all_n"))
-    ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
-    return c.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"))
-
-
-def ranking_metrics(metrics: DataFrame) -> DataFrame:
-    """auroc, aupr: areas by trapezoids; the precision-recall curve starts at recall 0 with the first precision."""
-    w = Window.orderBy(F.desc("threshold"))
-    step = lambda c, first: F.lag(c, 1, first).over(w)
-    t = metrics.select(
-        ((F.col("fpr") - step("fpr", 0.0)) * (F.col("recall") + step("recall", 0.0)) / 2).alias("a"),
-        ((F.col("recall") - step("recall", 0.0)) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.col("precision"))) / 2).alias("b"),
-    )
-    return t.agg(F.sum("a").alias("auroc"), F.sum("b").alias("aupr"))
+    """threshold, tp, fp, precision, recall, fpr: one row per distinct score, positives being the rows at or above it. Null scores are left out."""
+    tp, fp = F.col("upto_p"), F.col("upto_n")
+    precision, recall, fpr = _ratio(tp, tp + fp), _ratio(tp, F.col("all_p")), _ratio(fp, F.col("all_n"))
+    return _curve(scored, score, label).select("threshold", tp.alias("tp"), fp.alias("fp"), precision.alias("precision"), recall.alias("recall"), fpr.alias("fpr"))
+
+
+def ranking_metrics(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """auroc, aupr: areas by trapezoids; the precision-recall curve starts at recall 0 with the first precision.
+
+    The point before each threshold follows from the counts at it, so the areas are plain sums over the thresholds.
+    """
+    tp, fp, all_p, all_n = (F.col(c).cast("double") for c in ("upto_p", "upto_n", "all_p", "all_n"))
+    tp0, fp0 = tp - F.col("p"), fp - F.col("n")
+    roc = (_ratio(fp, all_n) - _ratio(fp0, all_n)) * (_ratio(tp, all_p) + _ratio(tp0, all_p)) / 2
+    first = F.when(tp0 + fp0 == 0, _ratio(tp, tp + fp)).otherwise(_ratio(tp0, tp0 + fp0))
+    pr = (_ratio(tp, all_p) - _ratio(tp0, all_p)) * (_ratio(tp, tp + fp) + first) / 2
+    return _curve(scored, score, label).agg(F.sum(roc).alias("auroc"), F.sum(pr).alias("aupr"))

@@ -66,6 +66,16 @@ def strongest_correlate(spark: SparkSession, sf: str) -> DataFrame:
     return r.agg(F.max_by("column", F.struct(F.abs("rho"), "column")).alias("column"), F.max(F.abs("rho")).alias("strength"))
 
 
+#: The columns of a weather record other than the air temperature.
+WEATHER = ["year", "month", "day", "hour", "latitude", "longitude", "elevation", "direction", "speed", "ceiling", "distance", "dew_point"]
+
+
+def spearman_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank correlation of the air temperature with each of the twelve other columns."""
+    r = S.spearman(noaa_parse(spark, sf), "label", WEATHER)
+    return r.select("column", F.round("rho", 9).alias("rho"))
+
+
 def _movies(spark: SparkSession, sf: str) -> DataFrame:
     """movie_id, terms: each movie with a plot once, its plot's words without stop-words."""
     m = spread(table(spark, sf, "movies").select("movie_id", "plot")).distinct().where("plot is not null")
@@ -128,8 +138,8 @@ def lsa_query_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    return o.select((F.pmod(F.floor("o_totalprice").cast("bigint"), F.lit(21)) / 20.0).alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    """A continuous score: the order's price."""
+    return table(spark, sf, "orders").select(F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
 
 
 def threshold_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +147,7 @@ def threshold_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    r = S.ranking_metrics(threshold_metrics(spark, sf))
+    r = S.ranking_metrics(_scored(spark, sf), "score", "label")
     return r.select(F.round("auroc", 9).alias("auroc"), F.round("aupr", 9).alias("aupr"))
 
 
@@ -168,8 +178,7 @@ def rf_regressor_cv(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.ml import regress
 
     train, test = split_years(noaa_parse(spark, sf), 1993, 1996)
-    features = ["year", "month", "day", "hour", "latitude", "longitude", "elevation", "direction", "speed", "ceiling", "distance", "dew_point"]
-    _, p, rmse = regress(train, test, features, "label")
+    _, p, rmse = regress(train, test, WEATHER, "label")
     return p.groupBy("year").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction")).withColumn("rmse", F.lit(rmse))
 
 
@@ -184,7 +193,7 @@ def movies_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        noaa_parse, year_split_counts, pearson_matrix, spearman_rank, strongest_correlate, tf, doc_freq_top, tfidf, keyword_scores_tfidf, lsa_concept_terms, lsa_concept_docs,
+        noaa_parse, year_split_counts, pearson_matrix, spearman_rank, spearman_weather, strongest_correlate, tf, doc_freq_top, tfidf, keyword_scores_tfidf, lsa_concept_terms, lsa_concept_docs,
         lsa_concept_labels, lsa_query, lsa_query_cosine, threshold_metrics, ranking_metrics, rf_regressor_cv, movies_csv_roundtrip,
     )
 } | {"dt_classifier_cv": dt_classifier_cv, "rf_classifier_cv": rf_classifier_cv}
@@ -207,8 +216,9 @@ w AS (SELECT movie_id, term, idf * tf / doc_len AS weight FROM f JOIN i USING (t
 _RANKS = "WITH v AS (SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem), r AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in NUMBERS
 ) + " FROM v), q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr(price, {c}), 9) AS rho FROM r" for c in ("quantity", "discount", "tax")) + ") "
+_WEATHER_RANKS = _NOAA + ", r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in ["label", *WEATHER]) + " FROM n) "
 _CURVE = """
-WITH o AS (SELECT (CAST(floor(o_totalprice) AS BIGINT) % 21) / 20 AS score, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
+WITH o AS (SELECT o_totalprice AS score, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
 g AS (SELECT score AS threshold, sum(label) AS p, count(*) - sum(label) AS n FROM o GROUP BY 1),
 c AS (SELECT threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM g WINDOW w AS (ORDER BY threshold DESC)),
 t AS (SELECT threshold, tp, fp, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, tp / ap AS recall, fp / an AS fpr FROM c)
@@ -219,6 +229,7 @@ SQL = {
     "year_split_counts": _NOAA + "SELECT CASE WHEN year BETWEEN 1993 AND 1996 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM n GROUP BY 1",
     "pearson_matrix": "WITH v AS (SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem) "
     + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM v" for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]),
+    "spearman_weather": _WEATHER_RANKS + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr(label, {c}), 9) AS rho FROM r" for c in WEATHER),
     "spearman_rank": _RANKS + "SELECT * FROM q",
     "strongest_correlate": _RANKS + 'SELECT "column", abs(rho) AS strength FROM q ORDER BY abs(rho) DESC, "column" DESC LIMIT 1',
     "tf": _TFIDF + "SELECT movie_id, doc_len, term, tf FROM f",

@@ -87,9 +87,18 @@ def test_weather_record(spark):
 def test_ranks_and_threshold_metrics(spark):
     d = spark.createDataFrame([(x,) for x in (5.0, 1.0, 1.0, 3.0, None)], "x double")
     assert {r.value: r.rank for r in S.average_ranks(d, "x").collect()} == {1.0: 1.5, 3.0: 3.0, 5.0: 4.0}
-    m = S.threshold_metrics(spark.createDataFrame([(1.0, 1), (1.0, 0), (0.0, 1), (0.0, 0)], "s double, l int"), "s", "l")
+    scored = spark.createDataFrame([(1.0, 1), (1.0, 0), (0.0, 1), (0.0, 0), (None, 1)], "s double, l int")
+    m = S.threshold_metrics(scored, "s", "l")
     assert {r.threshold: (r.precision, r.recall) for r in m.collect()} == {1.0: (0.5, 0.5), 0.0: (0.5, 1.0)}
-    assert S.ranking_metrics(m).first().auroc == 0.5
+    assert S.ranking_metrics(scored, "s", "l").first().auroc == 0.5
+    assert S.threshold_metrics(scored.where("false"), "s", "l").count() == 0 and S.average_ranks(d.where("false"), "x").count() == 0
+    many = spark.range(3000).selectExpr("id * 37 % 3001 * 1.0 as s", "int(id % 3 = 0) as l")
+    rows = sorted(many.collect(), key=lambda r: -r.s)
+    ours = {r.threshold: (r.tp, r.fp) for r in S.threshold_metrics(many, "s", "l").collect()}
+    tp = 0
+    for k, r in enumerate(rows):
+        tp += r.l
+        assert ours[r.s] == (tp, k + 1 - tp)
 
 
 def test_tf_idf_and_decomposition(spark):
