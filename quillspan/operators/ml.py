@@ -1,58 +1,86 @@
-"""Classification and regression by trees, with grids and cross-validation."""
+"""Classification and regression by trees, with grids and cross-validation; models saved and read again."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..runtime import cut
 
 #: Dimension of the hashed features.
 HASH_DIM = 32768
+#: Rows of a partition of the training data at least, where there are so many.
+FIT_ROWS = 20_000
 #: The full grids: parameter name -> values.
 TREE_GRID = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30]}
 FOREST_GRID = {"numTrees": [5, 10, 20], **TREE_GRID}
 REGRESSION_GRID = {"maxBins": [100, 200], "maxDepth": [5, 10]}
 
 
-def hashed_pipeline(estimator, features: list[str], label: str, dim: int = HASH_DIM) -> Pipeline:
-    """Feature hashing and label indexing before a classifier."""
-    return Pipeline(stages=[
-        FeatureHasher(inputCols=features, outputCol="features", numFeatures=dim),
-        StringIndexer(inputCol=label, outputCol="indexed_label", stringOrderType="alphabetAsc"),
-        estimator.setFeaturesCol("features").setLabelCol("indexed_label"),
-    ])
+def hashed_features(data: DataFrame, features: list[str], label: str, dim: int = HASH_DIM) -> PipelineModel:
+    """Feature hashing and label indexing, both fitted on all of ``data``; then the hashed columns in which no row holds anything are left out.
 
+    Such a column can never split a node. Forests draw their random subsets from the columns that are left.
+    """
+    first = Pipeline(stages=[
+        FeatureHasher(inputCols=features, outputCol="hashed", numFeatures=dim), StringIndexer(inputCol=label, outputCol="indexed_label", stringOrderType="alphabetAsc", handleInvalid="skip"),
+    ]).fit(data)
+    held = first.transform(data).select(Summarizer.metrics("numNonZeros").summary(F.col("hashed")).alias("s")).first()["s"]["numNonZeros"]
+    used = [i for i, n in enumerate(held.toArray()) if n] or [0]  # at most dim of them
+    return PipelineModel([*first.stages, VectorSlicer(inputCol="hashed", outputCol="features", indices=used)])
 
-def cross_validate(pipeline: Pipeline, grid: dict, evaluator, data: DataFrame, folds: int = 5, seed: int = 11, parallelism: int = 2):
-    """The fitted CrossValidatorModel over all combinations of the grid, which applies to the pipeline's last stage."""
-    data = cut(data)  # every fit passes over it several times
-    last = pipeline.getStages()[-1]
+
+def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int = 5, seed: int = 11, parallelism: int = 8):
+    """The fitted CrossValidatorModel of a tree estimator over all combinations of the grid; ``data`` holds the features' vectors already.
+
+    Fits run side by side, and each passes over the data once for every level of its trees: small data are kept in few partitions, as such a pass costs
+    more to start than to run.
+    """
+    data = cut(data)
+    few = max(1, -(-data.count() // FIT_ROWS))
+    data = cut(data.coalesce(few)) if few < data.rdd.getNumPartitions() else data
     g = ParamGridBuilder()
     for name, values in grid.items():
-        g = g.addGrid(last.getParam(name), values)
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=g.build(), evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism).fit(data)
+        g = g.addGrid(estimator.getParam(name), values)
+    return CrossValidator(estimator=estimator, estimatorParamMaps=g.build(), evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism).fit(data)
 
 
 def classify(data: DataFrame, features: list[str], label: str, kind: str = "tree", grid: dict | None = None, folds: int = 5, dim: int = HASH_DIM, seed: int = 11):
-    """(model, predictions on the held-out tenth, accuracy, area under ROC)."""
-    estimator = DecisionTreeClassifier(seed=seed) if kind == "tree" else RandomForestClassifier(seed=seed)
-    pipe = hashed_pipeline(estimator, features, label, dim)
-    train, test = data.randomSplit([0.9, 0.1], seed)
-    model = cross_validate(pipe, grid or (TREE_GRID if kind == "tree" else FOREST_GRID), BinaryClassificationEvaluator(labelCol="indexed_label"), train, folds, seed)
-    p = model.transform(test)
+    """(model, predictions on the held-out tenth, accuracy, area under ROC). Rows without a label are left out; null features are hashed as nothing.
+
+    ``model`` is a PipelineModel of the feature stages and the best tree or forest.
+    """
+    Estimator, full = (DecisionTreeClassifier, TREE_GRID) if kind == "tree" else (RandomForestClassifier, FOREST_GRID)
+    prepare = hashed_features(data, features, label, dim)
+    train, test = prepare.transform(data).drop("hashed").randomSplit([0.9, 0.1], seed)
+    estimator = Estimator(seed=seed, featuresCol="features", labelCol="indexed_label")
+    best = cross_validate(estimator, grid or full, BinaryClassificationEvaluator(labelCol="indexed_label"), train.select("features", "indexed_label"), folds, seed).bestModel
+    p = best.transform(test)
+    model = PipelineModel([*prepare.stages, best])
     return model, p, MulticlassClassificationEvaluator(labelCol="indexed_label", metricName="accuracy").evaluate(p), BinaryClassificationEvaluator(labelCol="indexed_label").evaluate(p)
 
 
 def regress(train: DataFrame, test: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11):
     """(model, predictions on ``test``, rmse) of a random forest over assembled columns; a null or NaN feature is an error."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)])
+    assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     ev = RegressionEvaluator(labelCol=label, metricName="rmse")
-    model = cross_validate(pipe, grid or REGRESSION_GRID, ev, train, folds, seed)
-    p = model.transform(test)
-    return model, p, ev.evaluate(p)
+    estimator = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
+    best = cross_validate(estimator, grid or REGRESSION_GRID, ev, assemble.transform(train).select("features", label), folds, seed).bestModel
+    p = best.transform(assemble.transform(test))
+    return PipelineModel([assemble, best]), p, ev.evaluate(p)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes the whole pipeline, over an older one in the same place."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -64,6 +64,11 @@ def consecutive(trips: DataFrame, key: str, time: str, order_id: str, gap_second
     return j.withColumn("_x", nxt).where("_x is not null").select(*trips.columns, *[F.col(f"_x._n_{c}").alias(f"next_{c}") for c in next_columns])
 
 
+def mean_or_zero(value: Column) -> Column:
+    """The mean of the non-null values, 0 if there are none."""
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
 def running_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """n, mean, stdev (population), largest, smallest per key."""
     return df.withColumn("_v", value).groupBy(*keys).agg(

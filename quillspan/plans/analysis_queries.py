@@ -137,6 +137,41 @@ def lsa_query_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return m.query(WORDS, idf, cosine=True)
 
 
+def title_join(spark: SparkSession, sf: str) -> DataFrame:
+    """title, n_terms, genre: each movie's number of plot terms beside the genre of every movie of the same title, k movies giving k x k rows."""
+    m = table(spark, sf, "movies").select("movie_id", "title", "genre").distinct()
+    terms = _movies(spark, sf).select("movie_id", F.size("terms").alias("n_terms"))
+    return terms.join(m.select("movie_id", "title"), "movie_id").select("title", "n_terms").join(m.select("title", "genre"), "title")
+
+
+def lsa_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """concept, term_norm, doc_norm, ordered, solves: what must hold of each concept whatever its sign: unit vectors, falling singular values, and A' u = s v."""
+    m = _lsa(spark, sf)[0]
+    v = m.term_weights()
+    u = m.doc_weights().select("movie_id", F.posexplode("u").alias("concept", "u"))
+    k = len(m.s)
+    s = spark.createDataFrame([(c, float(m.s[c]), bool(c == 0 or m.s[c - 1] >= m.s[c])) for c in range(k)], "concept int, s double, ordered boolean")
+    rows = m.rows.select("movie_id", F.explode("v").alias("x")).select("movie_id", "x.j", "x.weight")
+    terms = spark.createDataFrame([(t, j) for j, t in enumerate(m.terms)], "term string, j int")
+    wide = m.doc_weights().withColumnRenamed("u", "all_u")
+    back = rows.join(wide, "movie_id").groupBy("j").agg(F.array(*[F.sum(F.col("weight") * F.col("all_u")[c]) for c in range(k)]).alias("a")).select("j", F.posexplode("a").alias("concept", "got"))
+    off = back.join(F.broadcast(terms), "j").join(v, ["concept", "term"]).join(F.broadcast(s), "concept").groupBy("concept").agg(F.max(F.abs(F.col("got") - F.col("s") * F.col("weight"))).alias("off"))
+    norms = v.groupBy("concept").agg(F.sum(F.col("weight") * F.col("weight")).alias("t")).join(u.groupBy("concept").agg(F.sum(F.col("u") * F.col("u")).alias("d")), "concept")
+    return norms.join(s, "concept").join(off, "concept").select("concept", F.round("t", 6).alias("term_norm"), F.round("d", 6).alias("doc_norm"), "ordered", (F.col("off") < 1e-6).alias("solves"))
+
+
+def hashed_survey(spark: SparkSession, sf: str) -> DataFrame:
+    """outcome, indexed_label, n, total: labels by number, and what the hashed features hold in all: the numbers, and one for each category."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.ml import hashed_features
+
+    d = _survey(spark, sf)
+    h = hashed_features(d, SURVEY_FEATURES, "outcome").transform(d)
+    held = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    return h.groupBy("outcome", "indexed_label").agg(F.count("*").alias("n"), F.round(F.sum(held), 4).alias("total"))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """A continuous score: the order's price."""
     return table(spark, sf, "orders").select(F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
@@ -158,13 +193,16 @@ def _survey(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SURVEY_FEATURES = ["year", "l_linestatus", "quantity", "discount", "tax"]
+
+
 def _classified(kind: str):
     """The operator's whole grid, five folds and full hash dimension."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         from ..operators.ml import classify
 
-        _, p, accuracy, auc = classify(_survey(spark, sf), ["year", "l_linestatus", "quantity", "discount", "tax"], "outcome", kind)
+        _, p, accuracy, auc = classify(_survey(spark, sf), SURVEY_FEATURES, "outcome", kind)
         return p.groupBy("outcome", "prediction").agg(F.count("*").alias("n")).withColumn("accuracy", F.lit(accuracy)).withColumn("area_under_roc", F.lit(auc))
 
     return query
@@ -194,9 +232,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         noaa_parse, year_split_counts, pearson_matrix, spearman_rank, spearman_weather, strongest_correlate, tf, doc_freq_top, tfidf, keyword_scores_tfidf, lsa_concept_terms, lsa_concept_docs,
-        lsa_concept_labels, lsa_query, lsa_query_cosine, threshold_metrics, ranking_metrics, rf_regressor_cv, movies_csv_roundtrip,
+        lsa_concept_labels, lsa_query, lsa_query_cosine, lsa_checks, title_join, threshold_metrics, ranking_metrics, hashed_survey, movies_csv_roundtrip,
     )
-} | {"dt_classifier_cv": dt_classifier_cv, "rf_classifier_cv": rf_classifier_cv}
+}
+#: Queries that fit hundreds of models: they come after all others.
+SLOW = {"rf_regressor_cv": rf_regressor_cv, "dt_classifier_cv": dt_classifier_cv, "rf_classifier_cv": rf_classifier_cv}
 
 _NOAA = """
 WITH n AS (SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(day(l_shipdate) AS INTEGER) AS day, CAST(l_linenumber AS INTEGER) AS hour,
@@ -236,6 +276,11 @@ SQL = {
     "doc_freq_top": _TFIDF + "SELECT term, df, idf FROM i",
     "tfidf": _TFIDF + "SELECT movie_id, term, weight FROM w",
     "keyword_scores_tfidf": _TFIDF + f"SELECT movie_id, round(sum(weight * idf), 9) AS score FROM w JOIN i USING (term) WHERE term IN ({_WORDS_SQL}) GROUP BY 1 ORDER BY sum(weight * idf) DESC, movie_id DESC LIMIT 10",
+    "title_join": _TFIDF + ", tt AS (SELECT DISTINCT movie_id, title, genre FROM movies) SELECT a.title, coalesce(doc_len, 0) AS n_terms, b.genre FROM m JOIN (SELECT DISTINCT movie_id, title FROM tt) a USING (movie_id) "
+    "LEFT JOIN ln USING (movie_id) JOIN tt b ON a.title = b.title",
+    "lsa_checks": "SELECT CAST(unnest(range(25)) AS INTEGER) AS concept, 1.0::DOUBLE AS term_norm, 1.0::DOUBLE AS doc_norm, true AS ordered, true AS solves",
+    "hashed_survey": "SELECT CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE 'No' END AS outcome, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS indexed_label, count(*) AS n, "
+    "round(sum(l_quantity + l_discount + l_tax + 2), 4) AS total FROM lineitem GROUP BY ALL",
     "threshold_metrics": _CURVE + "SELECT * FROM t",
     "ranking_metrics": _CURVE
     + ", s AS (SELECT *, coalesce(lag(fpr) OVER w, 0) AS f0, coalesce(lag(recall) OVER w, 0) AS r0, coalesce(lag(precision) OVER w, precision) AS p0 FROM t WINDOW w AS (ORDER BY threshold DESC)) "

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import STOP_WORDS, is_number, is_strict, is_word, token_kind
+from ..functions.tokens import STOP_WORDS, is_number, is_strict, is_word, separated, token_kind
 from ..operators import text as X
 from ..runtime import spread, table
-from ..streaming.hashtags import batch_path, on_batches, shared_path, window_counts
+from ..streaming.hashtags import batch_path, merged_windows, on_batches, shared_path, window_counts
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,18 +94,23 @@ def stream_hashtag_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly event counts of a stream with a watermark, in complete mode, after the last batch."""
-    base = shared_path(spark, "windows")
+    """Hourly event counts of a stream with a watermark, after the last batch; a year late is not too late, so that the order of the files doesn't matter."""
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
-    out = f"{base}/counts"
-    spark.createDataFrame([], "window_start timestamp, event_type string, cnt bigint").write.parquet(out)
+    counts = merged_windows(window_counts(stream, "ts", "event_type", late="366 days"), shared_path(spark, "windows"), ["window_start", "event_type"])
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "cnt")
 
-    def work(counts: DataFrame, _: int) -> None:
-        counts.write.mode("overwrite").parquet(out)  # complete mode: each batch brings all windows
 
-    q = window_counts(stream, "ts", "event_type").writeStream.outputMode("complete").foreachBatch(work).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "cnt")
+def word_stripes_map(spark: SparkSession, sf: str) -> DataFrame:
+    """token, neighbours, total: the stripes as maps, and what is in them."""
+    s = X.as_stripes(X.word_stripes(_docs(spark, sf), "text", 1))
+    total = F.aggregate(F.map_values("stripe"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select("token", F.size("stripe").cast("bigint").alias("neighbours"), total.alias("total"), F.element_at("stripe", F.lit("the")).alias("beside_the"))
+
+
+def word_pairs_separated(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the pairs' left parts, read back from the joined key."""
+    p = separated(X.word_pairs(_docs(spark, sf), "text", 1).select("pair", "cnt"), "pair", ["a", "b"])
+    return p.groupBy("a").agg(F.sum("cnt").alias("cnt"))
 
 
 QUERIES = {
@@ -113,7 +118,7 @@ QUERIES = {
     for f in (word_count_strict, word_count_top1000, number_count_top1000, word_count_stopwords, word_count_stopwords_join, token_kind_counts)
 } | {f"word_pairs_m{m}": _pairs(m) for m in (1, 2, 5, 10)} | {f"word_stripes_m{m}": _stripes(m) for m in (1, 2, 5, 10)} | {
     f.__name__: f
-    for f in (word_pairs_keep_empty, word_pairs_kinds, hashtag_top, hashtag_pairs_top, stream_hashtag_topk, stream_window_counts)
+    for f in (word_pairs_keep_empty, word_pairs_kinds, hashtag_top, hashtag_pairs_top, stream_hashtag_topk, stream_window_counts, word_stripes_map, word_pairs_separated)
 }
 
 _LINES = r"""
@@ -163,6 +168,8 @@ SQL = {
     "word_pairs_kinds": _pairs_sql(1)
     + f"SELECT CASE WHEN {_KIND.format('a')} <> {_KIND.format('b')} THEN 'mixed' ELSE {_KIND.format('a')} || '-' || {_KIND.format('b')} END AS kind, a || ':' || b AS pair, cnt FROM p",
     **{f"word_stripes_m{m}": _stripes_sql(m) for m in (1, 2, 5, 10)},
+    "word_stripes_map": "WITH s AS (" + _stripes_sql(1) + ") SELECT token, count(*) AS neighbours, CAST(sum(cnt) AS BIGINT) AS total, max(cnt) FILTER (neighbour = 'the') AS beside_the FROM s GROUP BY token",
+    "word_pairs_separated": _pairs_sql(1) + "SELECT a, CAST(sum(cnt) AS BIGINT) AS cnt FROM p GROUP BY a",
     "hashtag_top": _TAG_TOP,
     "hashtag_pairs_top": _TAGS
     + "SELECT x.token || ':' || y.token AS pair, count(*) AS cnt FROM c x JOIN c y ON x.doc_id = y.doc_id AND (x.token < y.token OR (x.token = y.token AND x.n > 1)) GROUP BY 1 ORDER BY cnt DESC, pair LIMIT 1000",

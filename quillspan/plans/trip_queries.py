@@ -62,7 +62,7 @@ def trips_per_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 def trip_sum_avg_by_region(spark: SparkSession, sf: str) -> DataFrame:
     t = with_borough(spark, sf, _clean(spark, sf))
-    return t.groupBy("boroughcode").agg(F.sum("hours").alias("sum_hours"), F.avg("hours").alias("mean_hours"), F.count("*").alias("n"))
+    return t.groupBy("boroughcode").agg(F.sum("hours").alias("sum_hours"), T.mean_or_zero(F.col("hours")).alias("mean_hours"), F.count("*").alias("n"))
 
 
 def trip_sum_avg_by_dow(spark: SparkSession, sf: str) -> DataFrame:

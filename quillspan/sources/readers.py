@@ -32,6 +32,12 @@ def read_tsv_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema("token string, cnt bigint").csv(path)
 
 
+def read_whitespace_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns (as text) of a table whose cells are separated by blanks or tabs, however many; empty lines are left out, missing cells are null."""
+    cells = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    return spark.read.text(path).where(F.col("value").rlike(r"\S")).select(*[F.get(cells, F.lit(k)).alias(c) for k, c in enumerate(columns)])
+
+
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
     """token: one word per line, blanks around it taken off, empty lines left out."""
     return spark.read.text(path).select(F.trim("value").alias("token")).where("token <> ''").distinct()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.text import hashtag_counts, hashtag_pairs, hashtags_of, top
 from ..runtime import ensure_checkpoint_dir
@@ -52,7 +53,28 @@ def hashtag_batches(stream: DataFrame, text: str, base: str, n: int = 1000, arch
     on_batches(stream, work, f"{base}/_checkpoint", **how)
 
 
+def merged_windows(stream: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """The rows of a windowed count after all that is available now: every batch writes the windows it changed into its own folder below ``base`` (again
+    after a failure), and the last batch that has a window holds its count. In update mode the state of windows behind the watermark is given up."""
+    spark = stream.sparkSession
+    schema = stream.schema
+
+    def work(changed: DataFrame, batch_id: int) -> None:
+        changed.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(batch_path(f"{base}/counts", "batch", batch_id))
+
+    w = stream.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", f"{base}/checkpoint")
+    w.trigger(availableNow=True).start().awaitTermination()
+    all_batches = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    spark.createDataFrame([], all_batches).write.mode("overwrite").parquet(f"{base}/counts/none")
+    seen = spark.read.option("recursiveFileLookup", True).schema(all_batches).parquet(f"{base}/counts")
+    rest = [c for c in schema.names if c not in keys]
+    return seen.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest]).select(*schema.names)
+
+
 def window_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """window_start, kind, cnt: tumbling event-time windows with a watermark (time is cast to a timestamp, as watermarks need)."""
+    """window_start, kind, cnt: tumbling event-time windows with a watermark (time is cast to a timestamp, as watermarks need).
+
+    Rows that arrive more than ``late`` behind the greatest time of the batches before may be left out, and their windows' state is given up.
+    """
     t = stream.select(F.col(time).cast("timestamp").alias("_t"), F.col(kind).alias(kind)).withWatermark("_t", late)
     return t.groupBy(F.window("_t", width).alias("w"), kind).agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("window_start"), kind, "cnt")
