@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import cut, join_per_key
 
@@ -83,44 +85,75 @@ def exact_medians(df: DataFrame, source: str, parts: dict[str, Column]) -> DataF
 
 
 def context_fences(df: DataFrame, source: str, hour: str, values: list[str], reach: float = REACH, min_values: int = HOUR_VALUES) -> DataFrame:
-    """source, hour, n_rows, low_<value>, high_<value>, flat_<value>: the fences [q1 - reach x iqr, q3 + reach x iqr] of each source in each hour, and whether the
-    values never vary there; checkpointed. ``hour`` must not be null.
+    """source, n_rows, whole, hours: one row per source; checkpointed. ``whole`` holds low_<value>, high_<value> and flat_<value>: the fences
+    [q1 - reach x iqr, q3 + reach x iqr] of all the source's readings and whether they never vary; ``hours`` maps each hour to the same of its readings alone.
+    ``hour`` must not be null.
 
-    The quartiles come from sketches merged across partitions (rank error below one percent, none up to SKETCH_K values). An hour with fewer than ``min_values``
-    values is judged by the merged sketch of all the source's hours, and has null fences if that holds too few as well.
+    The quartiles come from sketches merged across partitions (rank error below one percent, none up to SKETCH_K values). What has fewer than
+    ``min_values`` values has null fences; hours without any of their own are left out.
     """
     sketches = [F.kll_sketch_agg_double(F.col(x).cast("double"), SKETCH_K).alias(x) for x in values]
-    hours = cut(df.groupBy(F.col(source).alias("s"), F.col(hour).alias("h")).agg(F.count("*").alias("n_rows"), *sketches))
+    hours = df.groupBy(F.col(source).alias("s"), F.col(hour).alias("h")).agg(F.count("*").alias("n"), *sketches)
 
-    def facts(x: str, tag: str) -> list[Column]:
+    def facts(x: str) -> list[Column]:
         n = F.kll_sketch_get_n_double(x)
-        at = lambda r: F.when(n >= min_values, F.kll_sketch_get_quantile_double(x, F.lit(r)))
-        return [at(r).alias(f"{name}_{tag}_{x}") for name, r in (("min", 0.0), ("q1", 0.25), ("q3", 0.75), ("max", 1.0))]
+        lo, q1, q3, hi = (F.when(n >= min_values, F.kll_sketch_get_quantile_double(x, F.lit(r))) for r in (0.0, 0.25, 0.75, 1.0))
+        return [(q1 - reach * (q3 - q1)).alias(f"low_{x}"), (q3 + reach * (q3 - q1)).alias(f"high_{x}"), (lo == hi).alias(f"flat_{x}")]
 
-    whole = hours.groupBy("s").agg(*[F.kll_merge_agg_double(x).alias(x) for x in values]).select("s", *[f for x in values for f in facts(x, "a")])
-    both = hours.select("s", "h", "n_rows", *[f for x in values for f in facts(x, "h")]).join(whole, "s")
-    out = []
-    for x in values:
-        lo, q1, q3, hi = (F.coalesce(F.col(f"{name}_h_{x}"), F.col(f"{name}_a_{x}")) for name in ("min", "q1", "q3", "max"))
-        out += [(q1 - reach * (q3 - q1)).alias(f"low_{x}"), (q3 + reach * (q3 - q1)).alias(f"high_{x}"), (lo == hi).alias(f"flat_{x}")]
-    return cut(both.select(F.col("s").alias(source), F.col("h").alias(hour), "n_rows", *out))
+    own = F.when(F.col("n") >= min_values, F.struct("h", F.struct(*[f for x in values for f in facts(x)]).alias("f")))
+    per = hours.select("s", "n", own.alias("own"), *values).groupBy("s").agg(  # at most 25 hours per source
+        F.sum("n").alias("n_rows"), F.map_from_entries(F.collect_list("own")).alias("hours"), *[F.kll_merge_agg_double(x).alias(x) for x in values]
+    )
+    return cut(per.select(F.col("s").alias(source), "n_rows", F.struct(*[f for x in values for f in facts(x)]).alias("whole"), "hours"))
+
+
+def with_fences(df: DataFrame, source: str, hour: str, values: list[str], reach: float = REACH, min_values: int = HOUR_VALUES) -> DataFrame:
+    """Adds low_<value>, high_<value> and flat_<value> to the readings of known sources: of their hour where it has enough values, else of their source, else null."""
+    j = join_per_key(df, context_fences(df, source, hour, values, reach, min_values), source, "n_rows").withColumn("_own", F.try_element_at("hours", F.col(hour)))
+    names = [f"{name}_{x}" for x in values for name in ("low", "high", "flat")]
+    return j.select(*df.columns, *[F.coalesce(F.col(f"_own.{n}"), F.col(f"whole.{n}")).alias(n) for n in names])
 
 
 def with_rates(df: DataFrame, source: str, time: str, order_id: str, parts: list[str]) -> DataFrame:
     """Adds rate_<part>: the change per hour since the source's reading before, in the order (time, order_id); ``time`` is in microseconds.
 
-    Null for a source's first reading, for one without source or time, and where either value is unknown or no time has passed.
+    Null for a source's first reading, for one without source or time, and where either value is unknown or no time has passed. The readings are sorted within
+    range partitions; of each partition only the last reading is seen by another one.
     """
-    known = df.where(F.col(time).isNotNull())
-    placed = cut(known.repartitionByRange(source, time, order_id).withColumn("_part", F.spark_partition_id()))
-    here = F.struct(F.col(source).alias("s"), F.col(time).alias("t"), *[F.col(p).cast("double").alias(p) for p in parts])
-    ends = placed.groupBy("_part").agg(F.max_by(here, F.struct(source, time, order_id)).alias("_last"))
-    before = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_border"))  # one row per partition
-    j = placed.withColumn("_before", F.lag(here).over(Window.partitionBy("_part", source).orderBy(time, order_id))).join(F.broadcast(before), "_part")
-    j = j.withColumn("_before", F.coalesce("_before", F.when(F.col("_border.s") == F.col(source), F.col("_border"))))
-    hours = (F.col(time) - F.col("_before.t")) / 3.6e9
-    rates = [F.when((hours > 0) & F.col(source).isNotNull(), (F.col(p).cast("double") - F.col(f"_before.{p}")) / hours).alias(f"rate_{p}") for p in parts]
-    return j.select(*df.columns, *rates).unionByName(df.where(F.col(time).isNull()), allowMissingColumns=True)
+    columns = df.columns
+    at = {c: k for k, c in enumerate(columns)}
+    spread = df.repartitionByRange(F.col(source).asc(), F.col(time).asc(), F.col(order_id).asc())
+    placed = cut(spread.sortWithinPartitions(source, time, order_id).withColumn("_part", F.spark_partition_id()))
+    last = F.struct(F.col(source).alias("s"), F.col(time).cast("bigint").alias("t"), *[F.col(p).cast("double").alias(f"p{k}") for k, p in enumerate(parts)])
+    order = F.struct(source, time, order_id)
+    ends = sorted((r[0], tuple(r[1])) for r in placed.groupBy("_part").agg(F.max_by(last, order)).collect())  # one row per partition
+    before = {part: end for (part, _), (_, end) in zip(ends[1:], ends)}
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"rate_{p}", T.DoubleType()) for p in parts]])
+    floats = lambda b, c, kind: pc.cast(b.column(at[c]), kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # source, time and values of the row before
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            held = before.get(b.column(len(columns))[0].as_py()) if held is None else held
+            s, t, x = b.column(at[source]), floats(b, time, pa.int64()), [floats(b, p, pa.float64()) for p in parts]
+            same = np.r_[held is not None and s[0].as_py() is not None and s[0].as_py() == held[0], pc.fill_null(pc.equal(s.slice(1), s.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)]
+            shift = lambda v, first, kind: np.r_[np.nan if first is None else first, v.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)[:-1]]
+            us = t.to_numpy(zero_copy_only=False).astype(float)  # null as NaN; microseconds of this age are exact
+            hours = (us - shift(t, held and held[1], float)) / 3.6e9
+            ok = same & (hours > 0)
+            rates = []
+            for k, v in enumerate(x):
+                now = v.to_numpy(zero_copy_only=False)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    rate = (now - shift(v, held and held[2 + k], float)) / hours
+                rates.append(pa.array(rate, pa.float64(), mask=~ok | np.isnan(rate)))
+            held = (s[n - 1].as_py(), t[n - 1].as_py(), *(v[n - 1].as_py() for v in x))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *rates], schema.names)
+
+    return placed.mapInArrow(run, schema)
 
 
 def stuck_runs(df: DataFrame, source: str, time: str, order_id: str, marks: list[str], at_least: int = 5, partitions: int | None = None) -> DataFrame:
@@ -211,27 +244,27 @@ def implausible(
     """
     used = [source, time, order_id, *dict.fromkeys(p for m in measures for p in m.parts if p not in (source, time, order_id))]
     hours = [F.coalesce(F.col(hour).cast("int"), F.lit(-1)).alias("_hour")] if hour else []
-    # the sketches, the rank counts, the ranking and the judging each pass over the readings: what made them unique is done once
-    df = cut(df.where(F.col(source).isNotNull()).select(*used, *hours))
+    df = df.where(F.col(source).isNotNull()).select(*used, *hours)
     known = {m.name: F.lit(True) for m in measures}
     for m in measures:
         for p in m.parts:
             known[m.name] = known[m.name] & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
     values = {p: F.when(known[m.name], F.col(p)) for m in measures for p in m.parts}
-    j = df
     fenced = [p for m in measures if m.fence for p in m.parts]
     rated = [p for m in measures if m.rate for p in m.parts]
+    if (fenced or rated) and not hour:
+        raise ValueError("fences need the column of the hour")
+    # what made the readings unique is done once, the sketches, the rank counts, the ranking and the judging each pass over them
+    if rated:
+        told = df.select(*df.columns, *[values[p].cast("double").alias(f"_v_{p}") for p in rated])
+        df = with_rates(told, source, time, order_id, [f"_v_{p}" for p in rated]).drop(*[f"_v_{p}" for p in rated]).withColumnsRenamed({f"rate__v_{p}": f"rate_{p}" for p in rated})
+    else:
+        df = cut(df)
+    j = df
     if fenced or rated:
-        if not hour:
-            raise ValueError("fences need the column of the hour")
-        judged = df.select(source, time, order_id, "_hour", *[values[p].cast("double").alias(p) for p in dict.fromkeys([*fenced, *rated])])
-        if rated:
-            judged = cut(with_rates(judged, source, time, order_id, rated))
-            rates = judged.select(F.col(source).alias("_s"), F.col(time).alias("_t"), F.col(order_id).alias("_i"), *[f"rate_{p}" for p in rated])
-            same = (F.col(source) == F.col("_s")) & F.col(order_id).eqNullSafe(F.col("_i")) & F.col(time).eqNullSafe(F.col("_t"))
-            j = j.join(rates, same, "left").drop("_s", "_t", "_i")
-        fences = context_fences(judged, source, "_hour", [*fenced, *(f"rate_{p}" for p in rated)], reach, hour_values)
-        j = join_per_key(j, fences.withColumnRenamed("n_rows", "_n"), [source, "_hour"], "_n")
+        judged = df.withColumns({f"_v_{p}": values[p].cast("double") for p in dict.fromkeys(fenced)})
+        fences = [*(f"_v_{p}" for p in fenced), *(f"rate_{p}" for p in rated)]
+        j = with_fences(judged, source, "_hour", fences, reach, hour_values)
     if any(m.spike for m in measures):
         j = join_per_key(j, exact_medians(df, source, {p: v for p, v in values.items() if any(m.spike and p in m.parts for m in measures)}), source, "n_rows")
 
@@ -251,13 +284,14 @@ def implausible(
             usual = [(F.col(p), F.when(F.col(f"n_{p}") >= min_values, F.col(f"med_{p}"))) for p in m.parts]
             kind = kind.when(F.coalesce(m.spike(usual), F.lit(False)), "spike")
         if m.fence:
-            kind = kind.when(any_of([beyond(p) for p in m.parts]), "outside")
+            kind = kind.when(any_of([beyond(f"_v_{p}") for p in m.parts]), "outside")
         if m.rate:
             kind = kind.when(any_of([beyond(f"rate_{p}") for p in m.parts]), "jump")
         if m.fence:
-            kind = kind.when(any_of([F.coalesce(f"flat_{p}", F.lit(False)) for p in m.parts]), "constant")
+            kind = kind.when(any_of([F.coalesce(f"flat__v_{p}", F.lit(False)) for p in m.parts]), "constant")
         kinds.append(kind.otherwise("").alias(f"_k_{m.name}"))
     judged = j.select(source, time, order_id, *[F.xxhash64(*m.parts).alias(f"_h_{m.name}") for m in measures], *kinds)
+    judged = cut(judged) if fenced or rated else judged  # it is read twice
     far = F.array(*[F.when(F.col(f"_k_{m.name}") != "", F.struct(F.lit(m.name).alias("field_name"), F.col(f"_k_{m.name}").alias("kind"))) for m in measures])
     out = judged.select(order_id, F.explode(F.array_compact(far)).alias("r")).select(order_id, "r.*")
     marks = [F.when(F.col(f"_k_{m.name}") == "", F.col(f"_h_{m.name}")).alias(m.name) for m in measures]
@@ -271,6 +305,6 @@ def hourly_fences(df: DataFrame, source: str, hour: str, order_id: str, value: s
     (``constant``), by ``context_fences``. Null sources or values are left out; a null hour is an hour of its own."""
     d = df.select(F.col(source).alias("s"), F.coalesce(F.col(hour).cast("int"), F.lit(-1)).alias("h"), F.col(order_id).alias("i"), F.col(value).cast("double").alias("x"))
     d = d.where("s is not null and x is not null and not isnan(x)")
-    j = join_per_key(d, context_fences(d, "s", "h", ["x"], reach, min_values), ["s", "h"], "n_rows")
+    j = with_fences(d, "s", "h", ["x"], reach, min_values)
     kind = F.when(F.col("flat_x"), "constant").when((F.col("x") < F.col("low_x")) | (F.col("x") > F.col("high_x")), "outside")
     return j.select(F.col("i").alias(order_id), F.col("low_x").alias("low"), F.col("high_x").alias("high"), kind.alias("kind")).where("kind is not null")

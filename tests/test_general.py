@@ -379,7 +379,8 @@ def test_hot_sources_are_joined_apart_beyond_the_broadcast_bound(spark):
     for how in ({}, {"max_bytes": 0, "hot_rows": 10}, {"max_bytes": 0, "hot_rows": 1000}):
         assert sorted(tuple(r) for r in join_per_key(rows, per, "k", "n", **how).collect()) == want
     assert bytes_of(per.where("false")) == 0 < bytes_of(per)
-    assert context_fences(rows.withColumn("h", rows.v % 2), "k", "h", ["v"]).where("k = 'hot'").count() == 2
+    hot = context_fences(rows.withColumn("h", rows.v % 2), "k", "h", ["v"]).where("k = 'hot'").first()
+    assert set(hot.hours) == {0, 1} and (hot.hours[0].low_v, hot.hours[0].high_v, hot.hours[0].flat_v) == (-60.0, 108.0, False) and hot.n_rows == 50
 
 
 def test_hourly_fences(spark):
