@@ -63,28 +63,27 @@ SMALL_GROUP = 128
 
 
 def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """What must hold of the containers when they are packed through the tree, as counts: one row per check."""
+    """doc_id, n_tokens, divided, whole, fits, tight: what must hold of each document when they are packed through the tree.
+
+    Whole: its pieces follow each other from its first token on. Fits: its containers hold no more than they can, without gaps or overlaps. Tight: all
+    containers together are at least 98 percent full, one aside.
+    """
     capacity = _limit(spark, sf, "container")[0]
     p = cut(pack(table(spark, sf, "documents"), "doc_id", "text", capacity, group_items=SMALL_GROUP).where("container is not null"))
-    inner = Window.partitionBy("container").orderBy("at")
-    pieces = Window.partitionBy("doc_id").orderBy("piece")
-    p = p.withColumn("gap", F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("n_tokens")).over(inner), F.lit(0)))
-    p = p.withColumn("hole", F.col("start_token") != F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(pieces), F.lit(0)))
-    per = p.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count_if("gap").alias("gaps"))
-    c = per.agg(F.count_if(F.col("n") > capacity).alias("over"), F.sum("gaps").alias("gaps"), F.count("*").alias("made"), F.sum("n").alias("tokens"))
-    d = p.groupBy("doc_id").agg(F.count("*").alias("parts"), F.count_if("hole").alias("holes")).agg(F.count("*").alias("docs"), F.count_if(F.col("parts") > 1).alias("divided"), F.sum("holes").alias("holes"))
-    counts = {
-        "documents placed": F.col("docs"), "tokens placed": F.col("tokens"), "documents divided": F.col("divided"), "containers over the capacity": F.col("over"), "gaps or overlaps in containers": F.col("gaps"),
-        "holes in documents": F.col("holes"), "less than 98 percent full": (F.col("tokens") < 0.98 * capacity * (F.col("made") - 1)).cast("int"),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(v.cast("bigint"), F.lit(0)).alias("value")) for k, v in counts.items()])
-    return c.join(F.broadcast(d)).select(F.explode(rows).alias("r")).select("r.name", "r.value")  # one row each
+    inner, pieces = Window.partitionBy("container").orderBy("at"), Window.partitionBy("doc_id").orderBy("piece")
+    p = p.withColumn("follows", F.col("at") == F.coalesce(F.lag(F.col("at") + F.col("n_tokens")).over(inner), F.lit(0)))
+    p = p.withColumn("held", F.max(F.col("at") + F.col("n_tokens")).over(Window.partitionBy("container")))
+    p = p.withColumn("next", F.col("start_token") == F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(pieces), F.lit(0)))
+    fill = p.agg((F.sum("n_tokens") >= 0.98 * capacity * (F.count_distinct("container") - 1)).alias("tight"))  # one row
+    d = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), (F.count("*") > 1).alias("divided"), F.every("next").alias("whole"), F.every(F.col("follows") & (F.col("held") <= capacity)).alias("fits"))
+    return d.join(F.broadcast(fill))
 
 
 def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """source, quota_tokens, reached, within_repeats, in_every_shard, known: what must hold of each source of the mixture, in four shards.
+    """doc_id, source, n_tokens, quota_tokens, within_repeats, reached, in_every_shard: what must hold of each document whose source is in the mixture, and of that source.
 
-    Reached: the tokens are the quota, or more by part of one document. In every shard: they are a fourth of it, to a tenth or the source's largest document.
+    Within repeats: no copy comes twice and none beyond max_repeats. Reached: the source's tokens are its quota, or more by part of one document. In every shard
+    (of four): they are a fourth of it, to a tenth or the source's largest document.
     """
     docs, targets, shards = table(spark, sf, "documents"), table(spark, sf, "mix_targets"), 4
     m = cut(mix(docs, "doc_id", "text", "source", targets, shards=shards))
@@ -92,14 +91,17 @@ def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
     most = d.groupBy("source").agg(F.max("size").alias("largest"), F.sum("size").alias("n"))
     quota = quotas({r["source"]: r["n"] for r in most.where("source is not null").collect()}, [tuple(r) for r in targets.select("source", "target_share", "max_repeats").collect()])  # one row per source
     limits = spark.createDataFrame(list(quota.items()), "source string, quota double").join(most, "source").join(targets.select(F.lower(F.trim("source")).alias("source"), "max_repeats"), "source")
-    twice = m.groupBy("doc_id", "copy").count().agg(F.max("count").alias("same"))
-    known = m.join(d, ["doc_id", "source"], "left").groupBy("source").agg(F.count_if(F.coalesce(F.col("size") != F.col("n_tokens"), F.lit(True))).alias("strange"), F.sum("n_tokens").alias("got"), F.max("copy").alias("copies"))
     by_shard = shard_shares(m).join(limits, "source").withColumn("off", F.abs(F.col("n_tokens") - F.col("quota") / shards) > F.greatest(F.col("quota") / shards / 10, F.col("largest")))
-    spread = by_shard.groupBy("source").agg(F.count_if("off").alias("off"), F.count("*").alias("in_shards"))
-    return limits.join(known, "source").join(spread, "source").join(F.broadcast(twice)).select(
-        "source", F.round("quota").cast("bigint").alias("quota_tokens"), F.col("got").between(F.floor("quota"), F.ceil("quota") + F.col("largest")).alias("reached"),
-        ((F.col("copies") <= F.col("max_repeats")) & (F.col("same") == 1)).alias("within_repeats"), ((F.col("off") == 0) & ((F.col("in_shards") == shards) | (F.col("quota") / shards <= F.col("largest")))).alias("in_every_shard"), (F.col("strange") == 0).alias("known"),
-    )
+    held = by_shard.groupBy("source").agg(F.sum("n_tokens").alias("got"), F.count_if("off").alias("off"), F.count("*").alias("in_shards"))
+    every = (F.col("off") == 0) & ((F.col("in_shards") == shards) | (F.col("quota") / shards <= F.col("largest")))
+    of_source = limits.join(held, "source").select(
+        "source", "max_repeats", F.round("quota").cast("bigint").alias("quota_tokens"), F.col("got").between(F.floor("quota"), F.ceil("quota") + F.col("largest")).alias("reached"), every.alias("in_every_shard")
+    )
+    used = m.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("copy").alias("copies"), F.count_distinct("copy").alias("different"), F.max("n_tokens").alias("n"))
+    fine = (F.col("times") == F.col("different")) & (F.col("copies") <= F.col("max_repeats")) & (F.col("n") == F.col("size"))
+    return d.join(F.broadcast(of_source), "source").join(used, "doc_id", "left").select(  # one row per target
+        "doc_id", "source", F.col("size").alias("n_tokens"), "quota_tokens", F.coalesce(fine, F.lit(True)).alias("within_repeats"), "reached", "in_every_shard"
+    )
 
 
 def p10_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,17 +158,16 @@ pm AS (SELECT *, ln(n / n_term) - ln(pow(len, 0.75) / z) AS pmi FROM sc JOIN tm
 SELECT field_name, movie_id, term, n, len AS n_record, n_term, d AS records_with, total AS records, round(pmi, 9) AS pmi, round(greatest(pmi, 0), 9) AS ppmi, round(score, 9) AS share_idf FROM pm
 """
 _SIZES = """
-WITH cap AS (SELECT max_tokens AS m FROM size_limits WHERE purpose = 'container'), d AS (SELECT octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0)
-SELECT 'documents placed' AS name, count(*) AS value FROM d UNION ALL SELECT 'tokens placed', CAST(coalesce(sum(n), 0) AS BIGINT) FROM d UNION ALL SELECT 'documents divided', count(*) FROM d, cap WHERE n > m
-UNION ALL SELECT unnest(['containers over the capacity', 'gaps or overlaps in containers', 'holes in documents', 'less than 98 percent full']), 0
+SELECT doc_id, octet_length(encode(text)) AS n_tokens, octet_length(encode(text)) > (SELECT max_tokens FROM size_limits WHERE purpose = 'container') AS divided, true AS whole, true AS fits, true AS tight
+FROM documents WHERE octet_length(encode(text)) > 0
 """
 _QUOTAS = """
-WITH d AS (SELECT lower(trim(source)) AS source, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0), s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1),
+WITH d AS (SELECT doc_id, lower(trim(source)) AS source, octet_length(encode(text)) AS n_tokens FROM documents WHERE octet_length(encode(text)) > 0), s AS (SELECT source, sum(n_tokens) AS n FROM d GROUP BY 1),
 t AS (SELECT lower(trim(m.source)) AS source, target_share, max_repeats, n FROM mix_targets m JOIN s ON s.source = lower(trim(m.source))),
 g AS (SELECT min(n * max_repeats * (SELECT sum(target_share) FROM t) / target_share) AS goal FROM t)
-SELECT source, CAST(round(goal * target_share / (SELECT sum(target_share) FROM t)) AS BIGINT) AS quota_tokens, true AS reached, true AS within_repeats, true AS in_every_shard, true AS known FROM t, g
+SELECT doc_id, source, n_tokens, CAST(round(goal * target_share / (SELECT sum(target_share) FROM t)) AS BIGINT) AS quota_tokens, true AS within_repeats, true AS reached, true AS in_every_shard
+FROM d JOIN t USING (source), g
 """
-
 SQL = {
     "p1_found": _FREQ + "SELECT term, mark FROM r WHERE mark IS NOT NULL",
     "p1_frequencies": _FREQ + "SELECT term, occurrences, records, share, mark FROM r",
