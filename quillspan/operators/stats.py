@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, join_per_key
+from ..runtime import BROADCAST_BYTES, cut, join_per_key
+
+#: Bytes of a value's rank in a broadcast.
+RANK_BYTES = 64
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
@@ -35,15 +38,23 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """column, rho: rank correlation of each column with the label over the rows in which both are known in all columns; constant columns give null.
+    """column, rho: rank correlation of each numeric column with the label over the rows in which all columns are known; constant columns give null.
 
-    A column's ranks (one row per distinct value) are broadcast if proven small; of larger ones only those of values that a large part of the rows hold,
-    so that no shuffled task meets more than a bounded number of rows with one value.
+    All columns are ranked together, as one order of (column, value), since every column has as many values as there are rows. A column's ranks (one row per
+    distinct value) are broadcast if proven small; of larger ones only those of values that a large part of the rows hold, so that no shuffled task meets
+    more than a bounded number of rows with one value.
     """
-    d = cut(df.select(label, *columns).dropna())
-    for c in [label, *columns]:
-        ranks = average_ranks(d, c).select(F.col("value").alias(c), F.col("n").alias("_n"), F.col("rank").alias(f"_r_{c}"))
-        d = join_per_key(d, cut(ranks), c, "_n").drop("_n")
+    names = [label, *columns]
+    # rows are left out after the checkpoint: a condition pushed below it would work out every column again
+    d = cut(df.select(*[F.col(c).cast("double").alias(c) for c in names])).dropna()
+    rows = d.count()
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(names)])).alias("k"))
+    ordered = running_totals(long.groupBy("k").agg(F.count("*").alias("n")), "k", ["n"])
+    ranks = cut(ordered.select("k.c", "k.v", "n", (F.col("upto_n") - F.col("k.c") * F.lit(rows) - (F.col("n") - 1) / 2).alias("rank")))
+    distinct = {r["c"]: r["count"] for r in ranks.groupBy("c").count().collect()}  # one row per column
+    for i, c in enumerate(names):
+        r = ranks.where(F.col("c") == i).select(F.col("v").alias(c), F.col("n").alias("_n"), F.col("rank").alias(f"_r_{c}"))
+        d = (d.join(F.broadcast(r), c) if distinct.get(i, 0) * RANK_BYTES <= BROADCAST_BYTES else join_per_key(d, r, c, "_n")).drop("_n")
     one = d.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.corr(f"_r_{label}", f"_r_{c}").alias("rho")) for c in columns]).alias("c"))
     return one.select(F.explode("c").alias("c")).select("c.*")
 
