@@ -22,8 +22,8 @@ from ..runtime import cut, small_or_plain
 SHARD_TOKENS = 4 << 20
 #: Least number of whole blocks a shard gets of its smallest source, and documents per task that puts a line in order.
 MIN_BLOCKS, LINE_DOCS = 40, 100_000
-#: Most targets, which the driver plans with.
-MAX_TARGETS = 10_000
+#: Most targets, which the driver plans with, and most left-over blocks in all, which the draws can hold.
+MAX_TARGETS, MAX_LEFT = 10_000, 10**9 - 1
 
 
 class SplitTree:
@@ -101,7 +101,7 @@ def mix(
 
     ``targets`` holds source, target_share and max_repeats (at most MAX_TARGETS rows, more are an error). Source names are compared trimmed and in
     lower case; sources without documents give their share to the others in proportion. The mixture is the largest whose shares can be held
-    (or ``total_tokens`` if that is less): every copy before the last is the whole source, the last one takes documents in random order until the
+    (or ``total_tokens`` if that is less), in ``shards`` (or one per ``shard_tokens``): every copy before the last is the whole source, the last one takes documents in random order until the
     quota is met, the document that reaches it included. Every shard holds the same shares to a block and a document of each source. Documents without
     text, source or target are not used; repeated ids are documents of their own; a null id is kept as it is. Sizes are bytes of UTF-8.
     """
@@ -119,7 +119,10 @@ def mix(
     if not quota:
         return empty
     live, goal = list(quota), sum(quota.values())
-    shards = shards or max(1, -(-int(goal) // shard_tokens))
+    # fewer than one block per shard and source is left over
+    if (shards or 1) * len(live) > MAX_LEFT:
+        raise ValueError("too many shards for so many sources")
+    shards = shards or max(1, min(-(-int(goal) // shard_tokens), MAX_LEFT // len(live)))
     per_shard = -(-min_blocks * goal // min(quota.values()))  # blocks, of all sources
     blocks = {s: max(1, round(q / goal * shards * per_shard)) for s, q in quota.items()}
     base = {s: n // shards for s, n in blocks.items()}
