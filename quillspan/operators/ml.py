@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import product
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import BROADCAST_BYTES, cut
+from .treegrid import search
 
 #: Dimension of the hashed features.
 HASH_DIM = 32768
@@ -22,6 +30,8 @@ FIT_ROWS = 20_000
 TREE_GRID = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30]}
 FOREST_GRID = {"numTrees": [5, 10, 20], **TREE_GRID}
 REGRESSION_GRID = {"maxBins": [100, 200], "maxDepth": [5, 10]}
+#: Column of the number of equal rows that a distinct row stands for.
+REPEATS = "_repeats"
 
 
 def hashed_features(data: DataFrame, features: list[str], label: str, dim: int = HASH_DIM) -> PipelineModel:
@@ -40,9 +50,12 @@ def hashed_features(data: DataFrame, features: list[str], label: str, dim: int =
 def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int = 5, seed: int = 11, parallelism: int = 8):
     """The fitted CrossValidatorModel of a tree estimator over all combinations of the grid; ``data`` holds the features' vectors already.
 
-    Fits run side by side, and each passes over the data once for every level of its trees: small data are kept in few partitions, as such a pass costs
+    An estimator with a weight column (the number of equal rows, of a binary classifier judged by its area under ROC) gets ``search``: the same combinations, folds and choice with
+    fewer trees. Otherwise fits run side by side, and each passes over the data once for every level of its trees: small data are kept in few partitions, as such a pass costs
     more to start than to run.
     """
+    if "weightCol" in {p.name for p in estimator.params} and estimator.isSet("weightCol"):
+        return _search_weighted(estimator, grid, data, folds, seed, parallelism)
     data = cut(data)
     few = max(1, -(-data.count() // FIT_ROWS))
     data = cut(data.coalesce(few)) if few < data.rdd.getNumPartitions() else data
@@ -52,19 +65,79 @@ def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int
     return CrossValidator(estimator=estimator, estimatorParamMaps=g.build(), evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism).fit(data)
 
 
+def _search_weighted(estimator, grid: dict, data: DataFrame, folds: int, seed: int, parallelism: int) -> CrossValidatorModel:
+    forest = isinstance(estimator, RandomForestClassifier)
+    label, weight = estimator.getLabelCol(), estimator.getWeightCol()
+    t = data.select(vector_to_array(estimator.getFeaturesCol()).alias("x"), F.col(label).cast("bigint").alias("y"), F.col(weight).cast("bigint").alias("n")).toArrow().combine_chunks()
+    y, n = t["y"].to_numpy(), t["n"].to_numpy()
+    x = t["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    order = np.lexsort([y, *x.T])  # the draws don't hang on the order in which rows arrive
+    x, y, n = x[order], y[order], n[order]
+    full = {k: grid.get(k, [estimator.getOrDefault(k) if k != "numTrees" or forest else 1]) for k in ("impurity", "maxBins", "maxDepth", "numTrees")}
+    areas = search(data.sparkSession, x, y, n, full, forest, folds, seed)
+    combinations = [dict(zip(grid, v)) for v in product(*grid.values())]  # in the order of ParamGridBuilder
+    mean = [areas[tuple(c.get(k, full[k][0]) for k in full)] for c in combinations]
+    chosen = estimator.copy({estimator.getParam(k): v for k, v in combinations[int(np.argmax(mean))].items()})
+    trees = chosen.getNumTrees() if forest else 1
+    bags = np.random.default_rng([seed, folds]).poisson(n[:, None], (len(n), trees)) if forest else n[:, None]
+    rows = pa.table({"x": _lists(x), label: y.astype(float), "bags": _lists(bags)})
+    rows = data.sparkSession.createDataFrame(rows).select(array_to_vector("x").alias(estimator.getFeaturesCol()), label, "bags")
+    rows = cut(rows.repartition(max(1, len(y) // (10 * FIT_ROWS))))
+
+    @inheritable_thread_target(data.sparkSession)
+    def fit(i: int):
+        """A tree of the best combination on its own bag: a row's repeats are drawn Poisson of their number, as one by one."""
+        bag = rows.select("*", F.col("bags")[i].cast("double").alias(weight)).where(F.col(weight) > 0)
+        if not forest:
+            return chosen.fit(bag)
+        every = {chosen.numTrees: 1, chosen.bootstrap: False, chosen.seed: seed + i, chosen.featureSubsetStrategy: "sqrt" if trees > 1 else "all"}
+        return chosen.copy(every).fit(bag)
+
+    with ThreadPool(min(parallelism, trees)) as pool:
+        grown = pool.map(fit, range(trees))
+    return CrossValidatorModel(_joined(chosen, grown) if forest else grown[0], mean)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
+
+
+def _joined(forest: RandomForestClassifier, grown: list) -> RandomForestClassificationModel:
+    """One forest model of models of a tree each."""
+    sc, first = SparkSession.active().sparkContext, grown[0]._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, len(grown))
+    for i, g in enumerate(grown):
+        trees[i] = g._java_obj.trees()[0]
+    model = sc._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid(), trees, first.numFeatures(), first.numClasses())
+    return forest._copyValues(RandomForestClassificationModel(model))
+
+
+def _distinct(data: DataFrame, columns: list[str]) -> DataFrame:
+    return cut(data.groupBy(*columns).agg(F.count("*").alias(REPEATS)))
+
+
 def classify(data: DataFrame, features: list[str], label: str, kind: str = "tree", grid: dict | None = None, folds: int = 5, dim: int = HASH_DIM, seed: int = 11):
     """(model, predictions on the held-out tenth, accuracy, area under ROC). Rows without a label are left out; null features are hashed as nothing.
 
-    ``model`` is a PipelineModel of the feature stages and the best tree or forest.
+    ``model`` is a PipelineModel of the feature stages and the best tree or forest. Rows are split and dealt to folds one by one, but equal rows are hashed and trained on as one with its
+    number as weight; where the label isn't binary or the distinct rows exceed the size of a broadcast, the trees are cross-validated row by row.
     """
     Estimator, full = (DecisionTreeClassifier, TREE_GRID) if kind == "tree" else (RandomForestClassifier, FOREST_GRID)
-    prepare = hashed_features(data, features, label, dim)
-    train, test = prepare.transform(data).drop("hashed").randomSplit([0.9, 0.1], seed)
+    train, test = data.where(F.col(label).isNotNull()).randomSplit([0.9, 0.1], seed)
+    known, judged = (_distinct(d, [*features, label]) for d in (train, test))
+    prepare = hashed_features(known.unionByName(judged), features, label, dim)
     estimator = Estimator(seed=seed, featuresCol="features", labelCol="indexed_label")
-    best = cross_validate(estimator, grid or full, BinaryClassificationEvaluator(labelCol="indexed_label"), train.select("features", "indexed_label"), folds, seed).bestModel
-    p = best.transform(test)
-    model = PipelineModel([*prepare.stages, best])
-    return model, p, MulticlassClassificationEvaluator(labelCol="indexed_label", metricName="accuracy").evaluate(p), BinaryClassificationEvaluator(labelCol="indexed_label").evaluate(p)
+    grid = grid or full
+    width = len(prepare.stages[-1].getIndices()) + folds + max(grid.get("numTrees", [20]))
+    weighted = kind == "tree" and len(prepare.stages[1].labels) == 2 and set(grid) <= set(FOREST_GRID) and known.count() * width * 8 <= BROADCAST_BYTES
+    if weighted:
+        estimator.setWeightCol(REPEATS)
+    rows = prepare.transform(known if weighted else train).select("features", "indexed_label", *([REPEATS] if weighted else []))
+    best = cross_validate(estimator, grid, BinaryClassificationEvaluator(labelCol="indexed_label"), rows, folds, seed).bestModel
+    scored = best.transform(prepare.transform(judged))
+    accuracy = MulticlassClassificationEvaluator(labelCol="indexed_label", metricName="accuracy", weightCol=REPEATS).evaluate(scored)
+    area = BinaryClassificationEvaluator(labelCol="indexed_label", weightCol=REPEATS).evaluate(scored)
+    return PipelineModel([*prepare.stages, best]), best.transform(prepare.transform(test).drop("hashed")), accuracy, area
 
 
 def regress(train: DataFrame, test: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11):

@@ -313,3 +313,62 @@ def test_regression_refuses_null_features(spark):
     rows = spark.createDataFrame([(float(i), float(i % 7)) for i in range(40)], "x double, label double")
     with pytest.raises(Exception, match="(?i)null"):
         regress(rows, spark.createDataFrame([(None, 1.0), (2.0, 2.0)], "x double, label double"), ["x"], "label", {"numTrees": [2]}, folds=2)
+
+
+def repeated_rows(spark, seed=0, n=1500):
+    """Rows with many repeats: (k, x, z, label), labels following the features only in part."""
+    g = np.random.default_rng(seed)
+    k, x, z = g.integers(0, 3, n), g.integers(0, 12, n), g.integers(0, 4, n)
+    y = (g.random(n) < 0.15 + 0.5 * ((x > 5) ^ (k == 1)) + 0.05 * z).astype(int)
+    return spark.createDataFrame([("abc"[a], float(b), float(c), "Yes" if d else "No") for a, b, c, d in zip(k, x, z, y)], "k string, x double, z double, y string")
+
+
+@pytest.mark.parametrize("most", [4, 32])
+@pytest.mark.parametrize("impurity", ["gini", "entropy"])
+def test_one_grown_tree_is_the_models_tree_at_every_depth(spark, impurity, most):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from quillspan.operators import ml, treegrid
+
+    d = repeated_rows(spark)
+    h = ml.hashed_features(d, ["k", "x", "z"], "y", 1024).transform(d).select("features", "indexed_label").coalesce(1).cache()
+    rows = h.collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([int(r.indexed_label) for r in rows])
+    cells, at = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
+    w = np.bincount(at.ravel()).astype(float)
+    binned, bins = treegrid.binned(cells[:, :-1], w, most)
+    tree = treegrid.Tree(binned, bins, cells[:, -1].astype(int), w, impurity, [2, 4, 30], x.shape[1], np.random.default_rng(0))
+    for depth in (2, 4, 30):
+        m = DecisionTreeClassifier(labelCol="indexed_label", impurity=impurity, maxBins=most, maxDepth=depth).fit(h)
+        assert np.array_equal(tree.leaf_stats(depth)[at.ravel()], np.array([r.rawPrediction.toArray() for r in m.transform(h).collect()]))
+
+
+def test_a_search_of_trees_has_the_means_of_cross_validation_by_rows_and_fits_once(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from quillspan.operators import ml, treegrid
+
+    d = repeated_rows(spark)
+    prepare = ml.hashed_features(d, ["k", "x", "z"], "y", 1024)
+    h = prepare.transform(d).groupBy("features", "indexed_label").count().withColumnRenamed("count", ml.REPEATS)
+    e = DecisionTreeClassifier(labelCol="indexed_label", weightCol=ml.REPEATS)
+    found = ml.cross_validate(e, {"impurity": ["gini", "entropy"], "maxBins": [8, 50, 100], "maxDepth": [2, 5, 20]}, BinaryClassificationEvaluator(labelCol="indexed_label"), h, 3, 7)
+    # the same folds, row by row
+    rows = h.collect()
+    keys = np.array([(*r.features.toArray(), r.indexed_label) for r in rows])
+    order = np.lexsort([keys[:, -1], *keys[:, :-1].T])
+    dealt = treegrid.fold_weights(np.array([rows[i][ml.REPEATS] for i in order]), 3, 7)
+    each = [(rows[i].features, rows[i].indexed_label, f) for i, counts in zip(order, dealt) for f, c in enumerate(counts) for _ in range(c)]
+    single = spark.createDataFrame(each, ["features", "indexed_label", "fold"]).withColumn("fold", F.col("fold").cast("int"))
+    e = DecisionTreeClassifier(labelCol="indexed_label")
+    g = ParamGridBuilder().addGrid(e.impurity, ["gini", "entropy"]).addGrid(e.maxBins, [8, 50, 100]).addGrid(e.maxDepth, [2, 5, 20]).build()
+    want = CrossValidator(estimator=e, estimatorParamMaps=g, evaluator=BinaryClassificationEvaluator(labelCol="indexed_label"), numFolds=3, foldCol="fold", parallelism=4).fit(single)
+    assert found.avgMetrics == pytest.approx(want.avgMetrics, abs=1e-9)
+    # by rows, the whole grid and five folds fit 91 models
+    fits, fit = [], DecisionTreeClassifier._fit
+    monkeypatch.setattr(DecisionTreeClassifier, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    _, p, accuracy, area = ml.classify(d, ["k", "x", "z"], "y")
+    assert len(fits) == 1 and accuracy > 0.6 and area > 0.5
+    assert p.count() == d.randomSplit([0.9, 0.1], 11)[1].count()
