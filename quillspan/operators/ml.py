@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_BYTES, cut
-from .treegrid import search
+from ..streaming.hashtags import shared_path
+from .treegrid import grown_forest, search, shared
 
 #: Dimension of the hashed features.
 HASH_DIM = 32768
@@ -55,7 +53,7 @@ def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int
     more to start than to run.
     """
     if "weightCol" in {p.name for p in estimator.params} and estimator.isSet("weightCol"):
-        return _search_weighted(estimator, grid, data, folds, seed, parallelism)
+        return _search_weighted(estimator, grid, data, folds, seed)
     data = cut(data)
     few = max(1, -(-data.count() // FIT_ROWS))
     data = cut(data.coalesce(few)) if few < data.rdd.getNumPartitions() else data
@@ -65,7 +63,7 @@ def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int
     return CrossValidator(estimator=estimator, estimatorParamMaps=g.build(), evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism).fit(data)
 
 
-def _search_weighted(estimator, grid: dict, data: DataFrame, folds: int, seed: int, parallelism: int) -> CrossValidatorModel:
+def _search_weighted(estimator, grid: dict, data: DataFrame, folds: int, seed: int) -> CrossValidatorModel:
     forest = isinstance(estimator, RandomForestClassifier)
     label, weight = estimator.getLabelCol(), estimator.getWeightCol()
     t = data.select(vector_to_array(estimator.getFeaturesCol()).alias("x"), F.col(label).cast("bigint").alias("y"), F.col(weight).cast("bigint").alias("n")).toArrow().combine_chunks()
@@ -78,38 +76,17 @@ def _search_weighted(estimator, grid: dict, data: DataFrame, folds: int, seed: i
     combinations = [dict(zip(grid, v)) for v in product(*grid.values())]  # in the order of ParamGridBuilder
     mean = [areas[tuple(c.get(k, full[k][0]) for k in full)] for c in combinations]
     chosen = estimator.copy({estimator.getParam(k): v for k, v in combinations[int(np.argmax(mean))].items()})
-    trees = chosen.getNumTrees() if forest else 1
-    bags = np.random.default_rng([seed, folds]).poisson(n[:, None], (len(n), trees)) if forest else n[:, None]
-    rows = pa.table({"x": _lists(x), label: y.astype(float), "bags": _lists(bags)})
-    rows = data.sparkSession.createDataFrame(rows).select(array_to_vector("x").alias(estimator.getFeaturesCol()), label, "bags")
-    rows = cut(rows.repartition(max(1, len(y) // (10 * FIT_ROWS))))
-
-    @inheritable_thread_target(data.sparkSession)
-    def fit(i: int):
-        """A tree of the best combination on its own bag: a row's repeats are drawn Poisson of their number, as one by one."""
-        bag = rows.select("*", F.col("bags")[i].cast("double").alias(weight)).where(F.col(weight) > 0)
-        if not forest:
-            return chosen.fit(bag)
-        every = {chosen.numTrees: 1, chosen.bootstrap: False, chosen.seed: seed + i, chosen.featureSubsetStrategy: "sqrt" if trees > 1 else "all"}
-        return chosen.copy(every).fit(bag)
-
-    with ThreadPool(min(parallelism, trees)) as pool:
-        grown = pool.map(fit, range(trees))
-    return CrossValidatorModel(_joined(chosen, grown) if forest else grown[0], mean)
-
-
-def _lists(values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
-
-
-def _joined(forest: RandomForestClassifier, grown: list) -> RandomForestClassificationModel:
-    """One forest model of models of a tree each."""
-    sc, first = SparkSession.active().sparkContext, grown[0]._java_obj
-    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, len(grown))
-    for i, g in enumerate(grown):
-        trees[i] = g._java_obj.trees()[0]
-    model = sc._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid(), trees, first.numFeatures(), first.numClasses())
-    return forest._copyValues(RandomForestClassificationModel(model))
+    if not forest:
+        return CrossValidatorModel(chosen.fit(cut(data.repartition(max(1, len(y) // (10 * FIT_ROWS))))), mean)
+    # Spark's own forest would draw distinct rows instead of their repeats: its model takes the nodes of trees grown on right bags
+    trees, depth, path = chosen.getNumTrees(), chosen.getMaxDepth(), shared_path(data.sparkSession, "forest")
+    chosen.copy({chosen.maxDepth: 0}).fit(data).write().save(path)
+    subset = shared(full, 0, x.shape[1], forest)[(chosen.getImpurity(), chosen.getMaxBins(), depth, trees)][2]
+    grown_forest(data.sparkSession, x, y, n, chosen.getImpurity(), chosen.getMaxBins(), depth, trees, subset, seed).write.mode("overwrite").parquet(f"{path}/data")
+    about = cut(data.sparkSession.read.parquet(f"{path}/treesMetadata"))
+    about.withColumn("_2", F.replace("_2", F.lit('"maxDepth":0'), F.lit(f'"maxDepth":{depth}'))).write.mode("overwrite").parquet(f"{path}/treesMetadata")
+    model = RandomForestClassificationModel.load(path)
+    return CrossValidatorModel(chosen._copyValues(model), mean)
 
 
 def _distinct(data: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,7 +106,7 @@ def classify(data: DataFrame, features: list[str], label: str, kind: str = "tree
     estimator = Estimator(seed=seed, featuresCol="features", labelCol="indexed_label")
     grid = grid or full
     width = len(prepare.stages[-1].getIndices()) + folds + max(grid.get("numTrees", [20]))
-    weighted = kind == "tree" and len(prepare.stages[1].labels) == 2 and set(grid) <= set(FOREST_GRID) and known.count() * width * 8 <= BROADCAST_BYTES
+    weighted = len(prepare.stages[1].labels) == 2 and set(grid) <= set(FOREST_GRID) and known.count() * width * 8 <= BROADCAST_BYTES
     if weighted:
         estimator.setWeightCol(REPEATS)
     rows = prepare.transform(known if weighted else train).select("features", "indexed_label", *([REPEATS] if weighted else []))

@@ -336,11 +336,19 @@ def test_one_grown_tree_is_the_models_tree_at_every_depth(spark, impurity, most)
     x, y = np.array([r.features.toArray() for r in rows]), np.array([int(r.indexed_label) for r in rows])
     cells, at = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
     w = np.bincount(at.ravel()).astype(float)
-    binned, bins = treegrid.binned(cells[:, :-1], w, most)
+    cuts = treegrid.splits_of(cells[:, :-1], w, most)
+    binned, bins = treegrid.binned(cells[:, :-1], cuts)
     tree = treegrid.Tree(binned, bins, cells[:, -1].astype(int), w, impurity, [2, 4, 30], x.shape[1], np.random.default_rng(0))
     for depth in (2, 4, 30):
         m = DecisionTreeClassifier(labelCol="indexed_label", impurity=impurity, maxBins=most, maxDepth=depth).fit(h)
         assert np.array_equal(tree.leaf_stats(depth)[at.ravel()], np.array([r.rawPrediction.toArray() for r in m.transform(h).collect()]))
+        saved = tree.nodes(depth, cuts)
+        assert len(saved["id"]) == m.numNodes
+        for row, leaf in zip(cells[:, :-1], tree.leaf_stats(depth)):
+            i = 0
+            while saved["leftChild"][i] >= 0:
+                i = saved["leftChild"][i] if row[saved["featureIndex"][i]] <= saved["threshold"][i][0] else saved["rightChild"][i]
+            assert saved["impurityStats"][i] == list(leaf)
 
 
 def test_a_search_of_trees_has_the_means_of_cross_validation_by_rows_and_fits_once(spark, monkeypatch):
@@ -372,3 +380,45 @@ def test_a_search_of_trees_has_the_means_of_cross_validation_by_rows_and_fits_on
     _, p, accuracy, area = ml.classify(d, ["k", "x", "z"], "y")
     assert len(fits) == 1 and accuracy > 0.6 and area > 0.5
     assert p.count() == d.randomSplit([0.9, 0.1], 11)[1].count()
+
+
+def test_a_forest_grid_grows_the_best_forest_once(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from quillspan.operators import ml
+
+    # by rows, this grid and its folds fit 25 forests
+    fits, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, data: fits.append(self.getMaxDepth()) or fit(self, data))
+    d = repeated_rows(spark, n=4000)
+    grid = {"numTrees": [3, 7], "impurity": ["gini"], "maxBins": [16, 32], "maxDepth": [3, 6]}
+    model, p, accuracy, area = ml.classify(d, ["k", "x", "z"], "y", "forest", grid, folds=3, dim=1024)
+    forest = model.stages[-1]
+    assert fits == [0]  # an empty model, for the nodes
+    assert forest.getNumTrees in (3, 7) and forest.getMaxDepth() in (3, 6) and forest.numFeatures == 5 and forest.numClasses == 2
+    assert all(1 < t.depth <= forest.getMaxDepth() for t in forest.trees)
+    assert accuracy > 0.6 and area > 0.65
+    ml.save_model(model, f"{tmp_path}/m")
+    again = ml.load_model(f"{tmp_path}/m")
+    assert [r.rawPrediction for r in again.transform(d).collect()] == [r.rawPrediction for r in model.transform(d).collect()]
+    # every tree has its own bag of about as many rows as there are, and the forest's votes are its trees' shares
+    sizes = [sum(t._call_java("rootNode").impurityStats().stats()) for t in forest.trees]
+    n = d.randomSplit([0.9, 0.1], 11)[0].count()
+    assert len(set(sizes)) > 1 and all(abs(s - n) < 6 * n**0.5 for s in sizes)
+    h = ml.PipelineModel(model.stages[:-1]).transform(d).limit(50)
+    by_tree = [[v.toArray() / sum(v.toArray()) for v in (r.rawPrediction for r in t.transform(h).collect())] for t in forest.trees]
+    assert np.allclose(np.sum(by_tree, axis=0), [r.rawPrediction.toArray() for r in forest.transform(h).collect()])
+
+
+def test_prefixes_of_bagged_trees_and_shared_splits_serve_the_whole_grid():
+    from quillspan.operators import treegrid
+
+    grid = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30], "numTrees": [1, 5, 20]}
+    serves = treegrid.shared(grid, 50, 12, True)
+    assert len(serves) == 54 and set(serves.values()) == {(i, 50, m) for i in grid["impurity"] for m in (4, 12)}
+    assert {v[1] for v in treegrid.shared(grid, 120, 12, True).values()} == {50, 100, 300}
+    # a row of weight n is drawn like n rows: mean and variance n
+    bag = np.random.default_rng(5).poisson(np.full(20_000, 40.0))
+    assert abs(bag.mean() - 40) < 0.5 and abs(bag.var() - 40) < 3
+    dealt = treegrid.fold_weights(np.full(20_000, 40.0), 5, 11)
+    assert (dealt.sum(axis=1) == 40).all() and abs(dealt[:, 0].var() - 40 * 0.2 * 0.8) < 0.5
