@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -13,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_BYTES, cut
@@ -24,6 +27,8 @@ from .treegrid import grown_forest, search, shared
 HASH_DIM = 32768
 #: Rows of a partition of the training data at least, where there are so many.
 FIT_ROWS = 20_000
+#: The same of a forest of regression trees, whose counters outweigh so many rows in every partition, and the rows that such forests hold side by side at most (they keep a bag of each).
+FOREST_ROWS, SIDE_ROWS = 200_000, 2_000_000
 #: The full grids: parameter name -> values.
 TREE_GRID = {"impurity": ["gini", "entropy"], "maxBins": [50, 100, 300], "maxDepth": [10, 20, 30]}
 FOREST_GRID = {"numTrees": [5, 10, 20], **TREE_GRID}
@@ -50,13 +55,17 @@ def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int
 
     An estimator with a weight column (the number of equal rows, of a binary classifier judged by its area under ROC) gets ``search``: the same combinations, folds and choice with
     fewer trees. Otherwise fits run side by side, and each passes over the data once for every level of its trees: small data are kept in few partitions, as such a pass costs
-    more to start than to run.
+    more to start than to run. Of regression forests only the deepest of each combination is grown; the others are cut from it.
     """
     if "weightCol" in {p.name for p in estimator.params} and estimator.isSet("weightCol"):
         return _search_weighted(estimator, grid, data, folds, seed)
-    data = cut(data)
-    few = max(1, -(-data.count() // FIT_ROWS))
+    cuts_depths = isinstance(estimator, RandomForestRegressor) and len(grid.get("maxDepth", [])) > 1
+    data = whole = cut(data)
+    n = data.count()
+    few = max(1, -(-n // (FOREST_ROWS if cuts_depths else FIT_ROWS)))
     data = cut(data.coalesce(few)) if few < data.rdd.getNumPartitions() else data
+    if cuts_depths:
+        return _search_depths(estimator, grid, evaluator, data, whole, folds, seed, min(parallelism, max(1, SIDE_ROWS // max(n, 1))))
     g = ParamGridBuilder()
     for name, values in grid.items():
         g = g.addGrid(estimator.getParam(name), values)
@@ -89,6 +98,62 @@ def _search_weighted(estimator, grid: dict, data: DataFrame, folds: int, seed: i
     return CrossValidatorModel(chosen._copyValues(model), mean)
 
 
+def _search_depths(estimator, grid: dict, evaluator, data: DataFrame, whole: DataFrame, folds: int, seed: int, parallelism: int) -> CrossValidatorModel:
+    """CrossValidator's folds, means and choice; levels are grown from the top with draws that don't depend on the depth, so a lower forest is the top of the deepest.
+
+    The best is fitted alone, on ``whole``: the same rows in as many partitions as they came in.
+    """
+    dealt = CrossValidator(estimator=estimator, evaluator=evaluator, numFolds=folds, seed=seed)._kFold(data)
+    depths = sorted(set(grid["maxDepth"]), reverse=True)
+    combinations = [dict(zip(grid, v)) for v in product(*grid.values())]  # in the order of ParamGridBuilder
+    params = lambda c: {estimator.getParam(k): v for k, v in c.items()}
+    others = lambda c: tuple(v for k, v in c.items() if k != "maxDepth")
+    deepest = list({others(c): {**c, "maxDepth": depths[0]} for c in combinations}.values())
+
+    @inheritable_thread_target(data.sparkSession)
+    def judge(task: tuple) -> dict:
+        fold, c = task
+        train, test = dealt[fold]
+        model = estimator.copy(params(c)).fit(train)
+        return {(others(c), d, fold): evaluator.evaluate((model if d == depths[0] else cut_trees(model, d)).transform(test)) for d in depths}
+
+    found: dict = {}
+    with ThreadPool(parallelism) as pool:
+        for r in pool.imap_unordered(judge, list(product(range(folds), deepest))):
+            found |= r
+    mean = [float(np.mean([found[(others(c), c["maxDepth"], f)] for f in range(folds)])) for c in combinations]
+    best = combinations[int(np.argmax(mean) if evaluator.isLargerBetter() else np.argmin(mean))]
+    return CrossValidatorModel(estimator.copy(params(best)).fit(whole), mean)
+
+
+def cut_trees(model, depth: int):
+    """The same forest ended at ``depth``: a node there is a leaf with its own prediction."""
+    spark = SparkSession.active()
+    path = shared_path(spark, "forest")
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    flat = saved.select("treeID", *[f"nodeData.{c}" for c in saved.schema["nodeData"].dataType.names])
+
+    def top(rows: pa.Table) -> pa.Table:
+        nodes = sorted(rows.to_pylist(), key=lambda n: n["id"])  # parents before their children
+        level, kept = {0: 0}, []
+        for n in nodes:
+            at = level.get(n["id"])
+            if at is None:
+                continue
+            if at == depth:
+                n |= {"gain": -1.0, "leftChild": -1, "rightChild": -1, "split": {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}}
+            elif n["leftChild"] >= 0:
+                level[n["leftChild"]] = level[n["rightChild"]] = at + 1
+            kept.append(n)
+        number = {-1: -1, **{n["id"]: i for i, n in enumerate(kept)}}
+        return pa.Table.from_pylist([n | {k: number[n[k]] for k in ("id", "leftChild", "rightChild")} for n in kept], schema=rows.schema)
+
+    ended = cut(flat.groupBy("treeID").applyInArrow(top, flat.schema))
+    ended.select("treeID", F.struct(*flat.columns[1:]).alias("nodeData")).write.mode("overwrite").parquet(f"{path}/data")
+    return type(model).load(path)
+
+
 def _distinct(data: DataFrame, columns: list[str]) -> DataFrame:
     return cut(data.groupBy(*columns).agg(F.count("*").alias(REPEATS)))
 
@@ -117,14 +182,19 @@ def classify(data: DataFrame, features: list[str], label: str, kind: str = "tree
     return PipelineModel([*prepare.stages, best]), best.transform(prepare.transform(test).drop("hashed")), accuracy, area
 
 
-def regress(train: DataFrame, test: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11):
-    """(model, predictions on ``test``, rmse) of a random forest over assembled columns; a null or NaN feature is an error."""
+def fit_regression(train: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11) -> PipelineModel:
+    """The best random forest over assembled columns; a null or NaN feature is an error."""
     assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     ev = RegressionEvaluator(labelCol=label, metricName="rmse")
     estimator = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
-    best = cross_validate(estimator, grid or REGRESSION_GRID, ev, assemble.transform(train).select("features", label), folds, seed).bestModel
-    p = best.transform(assemble.transform(test))
-    return PipelineModel([assemble, best]), p, ev.evaluate(p)
+    return PipelineModel([assemble, cross_validate(estimator, grid or REGRESSION_GRID, ev, assemble.transform(train).select("features", label), folds, seed).bestModel])
+
+
+def regress(train: DataFrame, test: DataFrame, features: list[str], label: str, grid: dict | None = None, folds: int = 5, seed: int = 11):
+    """(model, predictions on ``test``, rmse) of a random forest over assembled columns; a null or NaN feature is an error."""
+    model = fit_regression(train, features, label, grid, folds, seed)
+    p = model.transform(test)
+    return model, p, RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(p)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -16,10 +16,13 @@ MISSING = "+9999"
 
 
 def parse_records(raw: DataFrame, value: str, *keep: str) -> DataFrame:
-    """keep and the 13 fields; records whose air temperature (label) is missing are dropped, fields that can't be read are null."""
+    """keep and the 13 fields; records whose air temperature (label) is missing are dropped, fields that can't be read are null.
+
+    A generator hands on the lines: no filter on a field can be pushed below it, where it would compute a derived line once more for every field that it names.
+    """
     cut = lambda a, b: F.substring(F.col(value), a + 1, b - a)
     cols = [(cut(a, b).try_cast(kind) / by if by > 1 else cut(a, b).try_cast(kind)).alias(n) for n, a, b, kind, by in FIELDS]
-    return raw.where(cut(87, 92) != MISSING).select(*keep, *cols)
+    return raw.select(*[k for k in keep if k != value], F.explode(F.array(value)).alias(value)).where(cut(87, 92) != MISSING).select(*keep, *cols)
 
 
 def split_years(df: DataFrame, first: int = 1949, last: int = 2021) -> tuple[DataFrame, DataFrame]:

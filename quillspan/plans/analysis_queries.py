@@ -213,11 +213,15 @@ rf_classifier_cv = _classified("forest")
 
 
 def rf_regressor_cv(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.ml import regress
+    """Per year of the test records, which are parsed and predicted in one pass."""
+    from ..operators.ml import fit_regression
 
     train, test = split_years(noaa_parse(spark, sf), 1993, 1996)
-    _, p, rmse = regress(train, test, WEATHER, "label")
-    return p.groupBy("year").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction")).withColumn("rmse", F.lit(rmse))
+    p = fit_regression(train, WEATHER, "label").transform(test)
+    off = F.col("prediction") - F.col("label")
+    years = cut(p.groupBy("year").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction"), F.sum(off * off).alias("squares")))
+    rmse = years.agg(F.sqrt(F.sum("squares") / F.sum("n"))).first()[0]
+    return years.select("year", "n", "mean_prediction").withColumn("rmse", F.lit(rmse))
 
 
 def movies_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

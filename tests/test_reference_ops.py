@@ -422,3 +422,37 @@ def test_prefixes_of_bagged_trees_and_shared_splits_serve_the_whole_grid():
     assert abs(bag.mean() - 40) < 0.5 and abs(bag.var() - 40) < 3
     dealt = treegrid.fold_weights(np.full(20_000, 40.0), 5, 11)
     assert (dealt.sum(axis=1) == 40).all() and abs(dealt[:, 0].var() - 40 * 0.2 * 0.8) < 0.5
+
+
+def test_filters_on_fields_do_not_compute_derived_lines_again(spark):
+    from quillspan.plans.analysis_queries import fixed_width_lines
+
+    raw = fixed_width_lines(spark, SF)
+    once = raw._jdf.queryExecution().optimizedPlan().toString().count("lpad(")
+    train, _ = split_years(parse_records(raw, "value", "l_orderkey"), 1993, 1996)
+    assert train._jdf.queryExecution().optimizedPlan().toString().count("lpad(") == once
+    assert parse_records(raw, "value", "value").columns[0] == "value"
+
+
+def test_regression_forests_of_lower_depth_are_cut_from_the_deepest(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from quillspan.operators import ml
+
+    g = np.random.default_rng(3)
+    v = g.random((800, 3))
+    rows = spark.createDataFrame([(*map(float, r), float(4 * r[0] + np.sin(9 * r[1]) + 0.1 * e)) for r, e in zip(v, g.normal(size=800))], "a double, b double, c double, y double")
+    data = ml.cut(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows).select("features", "y").coalesce(1))
+    e, ev = RandomForestRegressor(labelCol="y", numTrees=6, seed=5), RegressionEvaluator(labelCol="y", metricName="rmse")
+    fits, fit = [], RandomForestRegressor._fit
+    with monkeypatch.context() as m:
+        m.setattr(RandomForestRegressor, "_fit", lambda self, d: fits.append(self.getMaxDepth()) or fit(self, d))
+        found = ml.cross_validate(e, {"maxBins": [8, 32], "maxDepth": [2, 6]}, ev, data, 3, 7)
+    assert fits == [6] * 7  # by combination: 12 and the best
+    grid = ParamGridBuilder().addGrid(e.maxBins, [8, 32]).addGrid(e.maxDepth, [2, 6]).build()
+    want = CrossValidator(estimator=e, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=7).fit(data)
+    assert found.avgMetrics == pytest.approx(want.avgMetrics, rel=1e-9)
+    assert found.bestModel.toDebugString.split("\n", 1)[1] == want.bestModel.toDebugString.split("\n", 1)[1]
