@@ -65,7 +65,7 @@ def cross_validate(estimator, grid: dict, evaluator, data: DataFrame, folds: int
     few = max(1, -(-n // (FOREST_ROWS if cuts_depths else FIT_ROWS)))
     data = cut(data.coalesce(few)) if few < data.rdd.getNumPartitions() else data
     if cuts_depths:
-        return _search_depths(estimator, grid, evaluator, data, whole, folds, seed, min(parallelism, max(1, SIDE_ROWS // max(n, 1))))
+        return _search_depths(estimator, grid, evaluator, data, whole, folds, seed, min(parallelism, folds, max(1, SIDE_ROWS // max(n, 1))))
     g = ParamGridBuilder()
     for name, values in grid.items():
         g = g.addGrid(estimator.getParam(name), values)
